@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..ship import ship
 from .common import without
 
 #: Entries in each cache of a worker; a full cache is emptied.
@@ -301,6 +302,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text"
     stay; a column called like ``ids_col`` is replaced; an empty table stays
     empty. Any column passes through, whatever its name.
     """
+    ship(docs.sparkSession)
     docs = without(docs, ids_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
@@ -319,6 +321,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text"
 
 def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
     """The rows plus ``bytes`` binary: the decoded ids (null ids: null). Ids outside the vocabulary fail."""
+    ship(rows.sparkSession)
     rows = without(rows, bytes_col)
     schema = T.StructType([*rows.schema.fields, T.StructField(bytes_col, T.BinaryType())])
 
@@ -337,6 +340,7 @@ def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "ids",
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of encoding and then decoding each whole text, in one pass: what ``encode`` and ``decode`` give, without moving the ids."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     sha = lambda x: hashlib.sha256(x).hexdigest()

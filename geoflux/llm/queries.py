@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, secrets, sharding
+from . import bpe, line_dedup, ngram_join, secrets, sharding
 from .common import table
 
 QUERIES = {
     "op1_bpe": lambda spark, d: bpe.op1(table(spark, d, "documents")),
+    "op2_ngram_join": lambda spark, d: ngram_join.op2(table(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: line_dedup.op3(table(spark, d, "documents")),
     "op4_secret_scan": lambda spark, d: secrets.op4(table(spark, d, "documents")),
     "op5_sharding": lambda spark, d: sharding.op5(table(spark, d, "documents")),
 }
 
-ORACLES = {"op3_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op2_ngram_join": ngram_join.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
