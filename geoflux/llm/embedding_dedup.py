@@ -215,3 +215,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
 
 def op10(vectors: DataFrame) -> DataFrame:
     return near_duplicates(vectors)
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id)::BIGINT AS n_links, c.component_id, c.component_id = e.vec_id AS kept
+FROM embeddings e JOIN c ON c.x = e.vec_id
+"""

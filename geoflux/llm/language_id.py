@@ -7,6 +7,7 @@ a narrow margin to the second best is marked as a rejection.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,11 +24,17 @@ PIECE = 2048
 #: Relative margins below this are rejected.
 MARGIN = 0.01
 NONE = "und"
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def normal(text: str) -> bytes:
+    """Lower-cased letters; whatever lies between words is one space."""
+    return _OTHER.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionaries by language from labelled rows: the ``TEXTS`` rows of least hash in each language, up to
-    ``DICTIONARY_BYTES`` in all, lower-cased. Rows with a null text or language are not used; the result is bounded
+    ``DICTIONARY_BYTES`` in all, normalised. Rows with a null text or language are not used; the result is bounded
     by the number of languages."""
     rank = Window.partitionBy("lang").orderBy("h", "id")
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
@@ -37,17 +44,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = base.join(F.broadcast(chosen.select("id", "r")), "id").select("lang", "r", "text").collect()  # TEXTS a language at most
     out: dict[str, bytes] = {}
     for lang in sorted({r.lang for r in rows}):
-        each = [r.text.lower().encode("utf-8", "replace") for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.r)]
+        each = [normal(r.text) for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.r)]
         share = DICTIONARY_BYTES // len(each) + 1
         while sum(min(len(e), share) for e in each) < DICTIONARY_BYTES and share < max(map(len, each)):
             share *= 2
-        out[lang] = b"\n".join(e[:share] for e in each)[:DICTIONARY_BYTES]
+        out[lang] = b" ".join(e[:share] for e in each)[:DICTIONARY_BYTES]
     return out
 
 
 def sizes(text: str, compressors: list) -> list[int]:
     """Compressed bytes of the whole text by each compressor, in pieces."""
-    raw = text.lower().encode("utf-8", "replace")
+    raw = normal(text)
     return [sum(len(c.compress(raw[i : i + PIECE])) for i in range(0, len(raw), PIECE)) for c in compressors]
 
 
@@ -74,8 +81,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
         made = []
         for raw in raws:
             d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=1)
-            made.append(zstd.ZstdCompressor(dict_data=d, level=1, write_content_size=False, write_checksum=False, write_dict_id=False))
+            # Short matches tell languages apart; the fast strategies of low levels miss them.
+            how = zstd.ZstdCompressionParameters.from_level(
+                5, dict_size=len(raw), source_size=PIECE, strategy=zstd.STRATEGY_GREEDY, min_match=4, search_log=4, write_content_size=0, write_checksum=0, write_dict_id=0
+            )
+            d.precompute_compress(compression_params=how)
+            made.append(zstd.ZstdCompressor(dict_data=d, compression_params=how))
         for batch in batches:
             pred, score = [], []
             for t in batch.column(text_col):

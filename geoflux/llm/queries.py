@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, ngram_join, secrets, sharding
+from . import bpe, chat, embedding_dedup, language_id, line_dedup, ngram_join, secrets, sharding
 from .common import table
 
 QUERIES = {
@@ -11,6 +11,9 @@ QUERIES = {
     "op3_line_dedup": lambda spark, d: line_dedup.op3(table(spark, d, "documents")),
     "op4_secret_scan": lambda spark, d: secrets.op4(table(spark, d, "documents")),
     "op5_sharding": lambda spark, d: sharding.op5(table(spark, d, "documents")),
+    "op6_chat_format": lambda spark, d: chat.op6(table(spark, d, "conversations")),
+    "op9_language_id": lambda spark, d: language_id.op9(table(spark, d, "documents")),
+    "op10_embedding_dedup": lambda spark, d: embedding_dedup.op10(table(spark, d, "embeddings")),
 }
 
-ORACLES = {"op2_ngram_join": ngram_join.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op2_ngram_join": ngram_join.ORACLE, "op6_chat_format": chat.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
