@@ -41,6 +41,8 @@ G st_makevalid 1 2, st_normalize 1 1, st_pointonsurface 1 1, st_polygonize 1 1,
 G st_scale 3 4, st_segmentize 2 2, st_setcrs 2 2, st_setsrid 2 2, st_simplify 2 2, st_simplifypreservetopology 2 2, st_snap 3 3, st_symdifference 2 2
 G st_tessellategeog 2 2, st_tessellategeom 2 2, st_togeography 1 1, st_togeometry 1 1, st_transform 2 3, st_translate 3 4, st_unaryunion 1 1, st_union 2 2
 L s2_cellidfrompoint 1 1, sd_order 1 1
+S sd_format 1 2
+G sd_simplifystorage 1 1, geoflux_fromgeojson 1 1
 cells s2_coveringcellids 1 4, geoflux_cells 2 3
 bounds geoflux_bounds 1 1
 R rs_example 0 0, rs_make 9 10, rs_setbandnodatavalue 2 3, rs_setcrs 2 2, rs_setsrid 2 2, rs_setgeoreference 2 3, rs_asraster 3 7, rs_clip 3 7, rs_resample 4 7
@@ -121,7 +123,7 @@ _known: set[int] = set()
 
 
 def register(spark: SparkSession) -> SparkSession:
-    """Makes all functions known to the session, once. SD_Format and SD_SimplifyStorage are SQL functions over text and any type."""
+    """Makes all functions known to the session, once."""
     jsession = spark._jsparkSession
     key = jsession.hashCode()
     if key in _known:
@@ -144,8 +146,10 @@ def register(spark: SparkSession) -> SparkSession:
     functions = jsession.sessionState().functionRegistry()
     jvm.static(spark, "geoflux.Udf", "register", ["org.apache.spark.sql.catalyst.analysis.FunctionRegistry", "java.lang.String"], [functions, "\n".join(lines)])
     for name, (fold, ddl) in AGGREGATES.items():
-        made = jvm.static(spark, "geoflux.Agg", "udaf", ["java.lang.String", "org.apache.spark.sql.types.StructType"], [fold, kind(ddl) if ddl else None])
+        made = jvm.static(spark, "geoflux.Agg", "udaf", ["java.lang.String", "org.apache.spark.sql.types.StructType"], [fold, kind(f"struct<v:{ddl}>") if ddl else None])
         jsession.udf().register(name, made)
+        if ddl:
+            jvm.static(spark, "geoflux.Udf", "unwrap", ["org.apache.spark.sql.catalyst.analysis.FunctionRegistry", "java.lang.String"], [functions, name])
     for name, (more, ddl, body) in EXPRESSIONS.items():
         spark.sql(f"create or replace temporary function {name}(r {RASTER_TYPE}{', ' + more if more else ''}) returns {ddl} return {body}")
     _known.add(key)
