@@ -78,32 +78,28 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     """Connected components of ``edges(a long, b long)``: rows (node, component),
     the component being the smallest node that can be reached.
 
-    Alternates minimum-label exchange over the edges with pointer jumping, so
-    the rounds grow with the logarithm of the longest path. Each round is a
-    hash aggregation with map-side combine, so a node of any degree is fine.
-    Labels stay distributed; the driver sees one count a round.
+    Each round a node takes the least label among its own, its label's label
+    and its neighbours' labels' labels, and its root takes what its nodes have
+    found, so the rounds grow with the logarithm of the longest path. The
+    minima are hash aggregations with map-side combine, so a node of any degree
+    is fine. Labels stay distributed; the driver sees one count a round.
     """
     e = edges.where("a <> b").select("a", "b")
     both = scratch.save(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
+    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("f")))
     for _ in range(max_rounds):
-        at = labels.select(F.col("node").alias("b"), F.col("component").alias("label"))
-        near = both.join(at, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("next"))
-        # What a node learns also goes to the root it points at (hooking), then each node jumps to its root's label.
-        roots = step.groupBy(F.col("component").alias("root")).agg(F.min("next").alias("root_next"))
-        jumped = step.join(roots, F.col("next") == F.col("root"), "left").select(
-            "node", F.least("next", F.coalesce("root_next", "next")).alias("component"), F.col("component").alias("old")
-        )
-        hooked = jumped.join(roots.select(F.col("root").alias("node"), F.col("root_next").alias("hook")), "node", "left").select(
-            "node", F.least("component", F.coalesce("hook", "component")).alias("component"), "old"
-        )
-        new = scratch.save(hooked)
-        changed = new.where("component <> old").limit(1).count()
-        scratch.drop(labels)
-        labels = new.select("node", "component")
+        upper = labels.select(F.col("node").alias("f"), F.col("f").alias("g"))
+        two = scratch.save(labels.join(upper, "f").select("node", "f", "g"))
+        near = scratch.save(both.join(two.select(F.col("node").alias("b"), "g"), "b").groupBy(F.col("a").alias("node")).agg(F.min("g").alias("near")))
+        known = two.join(near, "node").select("node", "f", "g", "near")
+        hooks = known.groupBy(F.col("f").alias("node")).agg(F.min("near").alias("hook"))
+        new = known.join(hooks, "node", "left").select("node", F.least("f", "g", "near", F.coalesce("hook", "f")).alias("f"), F.col("f").alias("old"))
+        new = scratch.save(new)
+        changed = new.where("f <> old").limit(1).count()
+        scratch.drop(labels, two, near)
+        labels = new.select("node", "f")
         labels._scratch_path = new._scratch_path
         if not changed:
             scratch.drop(both)
-            return labels
+            return labels.withColumnRenamed("f", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
