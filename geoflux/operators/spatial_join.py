@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import call
-from ..plans.grid import BROADCAST_BYTES, bounds, cell_levels, levels_of, own_level, small_enough
+from ..plans.grid import BROADCAST_BYTES, LOWEST, bounds, cell_levels, ladder, levels_of, small_enough
 
 PREDICATES = ("intersects", "contains", "within", "covers", "coveredby", "touches", "crosses", "overlaps", "equals")
 HOW = {
@@ -47,18 +47,23 @@ def _boxed(df: DataFrame, side: str, geom: str | Column, box: Column | None, gro
 def _pairs(left: DataFrame, right: DataFrame, exact: Column, limit: int) -> DataFrame:
     """The pairs of boxed sides that pass the exact test, each once."""
     meet = F.expr("l_box.xmin <= r_box.xmax and r_box.xmin <= l_box.xmax and l_box.ymin <= r_box.ymax and r_box.ymin <= l_box.ymax")
-    for small, large in ((right, left), (left, right)):
-        if small_enough(small, limit):  # of a size that the optimizer has checked
-            return large.join(F.broadcast(small), meet & exact)
-    ll, rl = levels_of(left, "l_box"), levels_of(right, "r_box")
-    # A pair meets on the larger of its two levels, so each side goes to its own level and the other's above it.
-    lc = cell_levels(left, "l_box", sorted({*ll, *rl}))
-    rc = cell_levels(right, "r_box", sorted({*ll, *rl}))
-    lc, rc = lc.withColumn("l_k", own_level("l_box")), rc.withColumn("r_k", own_level("r_box"))
+    # A pair meets on the larger of its two levels, in the cell of the lower left corner of what the boxes share.
     once = F.expr(
         "l.cell.k = greatest(l_k, r_k) and l.cell.i = floor(greatest(l_box.xmin, r_box.xmin) / pow(2D, l.cell.k)) and l.cell.j = floor(greatest(l_box.ymin, r_box.ymin) / pow(2D, l.cell.k))"
     )
-    return lc.alias("l").join(rc.alias("r"), (F.col("l.cell") == F.col("r.cell")) & meet & once & exact).drop("cell", "l_k", "r_k")
+    on = (F.col("l.cell") == F.col("r.cell")) & meet & once & exact
+    for small, large, s, g in ((right, left, "r", "l"), (left, right, "l", "r")):
+        if small_enough(small, limit):  # of a size that the optimizer has checked; the large side is read once and not moved
+            own = levels_of(small, f"{s}_box")
+            levels = ladder(own)
+            few = cell_levels(small, f"{s}_box", levels, level=f"{s}_k").alias(s)
+            many = cell_levels(large, f"{g}_box", levels, max(own, default=0), f"{g}_k").alias(g)
+            return many.join(F.broadcast(few), on).drop("cell", "l_k", "r_k")
+    ll, rl = levels_of(left, "l_box"), levels_of(right, "r_box")
+    levels = sorted({*ll, *rl}) or [0]
+    lc = cell_levels(left, "l_box", levels, max(rl, default=LOWEST), "l_k")
+    rc = cell_levels(right, "r_box", levels, max(ll, default=LOWEST), "r_k")
+    return lc.alias("l").join(rc.alias("r"), on).drop("cell", "l_k", "r_k")
 
 
 def _finish(pairs: DataFrame, left: DataFrame, right: DataFrame, how: str, lcols: list[str], rcols: list[str], suffix: str) -> DataFrame:

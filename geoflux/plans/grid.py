@@ -38,14 +38,29 @@ def levels_of(df: DataFrame, box: str) -> list[int]:
     return sorted(r[0] for r in df.where(F.col(box).isNotNull()).select(own_level(box).alias("k")).distinct().collect())
 
 
-def cell_levels(df: DataFrame, box: str, levels: list[int], out: str = "cell") -> DataFrame:
-    """One row for each cell (struct<k, i, j>) that the box touches on its own level or, of ``levels``, on those above.
+def ladder(levels: list[int]) -> list[int]:
+    """The levels and, above them, every sixth up to sizes that hold anything: a list for boxes that were not looked at."""
+    top = max(levels, default=0)
+    return sorted({*levels, *range(top + 6, top + 60, 6)})
 
-    Boxes above the highest level listed go to more cells of that one.
+
+def level_in(box: str, levels: list[int]) -> Column:
+    """The first level listed whose cells are as large as the box."""
+    listed = F.array(*[F.lit(k) for k in levels])
+    own = own_level(box)
+    return F.coalesce(F.array_min(F.filter(listed, lambda k: k >= own)), F.lit(max(levels, default=LOWEST)))
+
+
+def cell_levels(df: DataFrame, box: str, levels: list[int], occupied: int | None = None, level: str = "_own", out: str = "cell") -> DataFrame:
+    """One row for each cell (struct<k, i, j>) that the box touches on its own level and, of ``levels``, on those above.
+
+    ``level`` gets the own level. Levels above ``occupied`` are left out but for the own one: the other side has nothing
+    of its own there.
     """
-    own = F.least(own_level(box), F.lit(max(levels, default=LOWEST)))
     listed = F.array(*[F.lit(k) for k in levels])
-    at = df.where(F.col(box).isNotNull()).withColumn("_k", F.explode(F.filter(listed, lambda k: k >= own)))
+    at = df.where(F.col(box).isNotNull()).withColumn(level, level_in(box, levels))
+    more = F.lit(True) if occupied is None else None
+    at = at.withColumn("_k", F.explode(F.filter(listed, lambda k: (k == F.col(level)) | ((k > F.col(level)) & (more if more is not None else k <= occupied)))))
     side = F.pow(F.lit(2.0), F.col("_k"))
     low = lambda c: F.floor(F.col(f"{box}.{c}") / side)
     at = at.withColumn("_i", F.explode(F.sequence(low("xmin"), low("xmax")))).withColumn("_j", F.explode(F.sequence(low("ymin"), low("ymax"))))

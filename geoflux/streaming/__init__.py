@@ -8,29 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import call
-from ..plans.grid import bounds, cell_levels, levels_of, own_level, small_enough
+from ..plans.grid import bounds, cell_levels, ladder, levels_of, small_enough
 
 
 def join_static(stream: DataFrame, static: DataFrame, predicate: str = "intersects", stream_geom: str = "geometry", static_geom: str = "geometry") -> DataFrame:
     """Inner spatial join of a stream with a static frame; stateless, so any output mode will do.
 
-    A small static side is broadcast; else stream rows go to the cells of the static side's levels.
+    Rows meet in the cells of the static side's levels.
     """
     s = static.select(F.struct(*[F.col(f"`{c}`") for c in static.columns]).alias("r_row"), F.col(static_geom).alias("r_geom"), bounds(F.col(static_geom)).alias("r_box"))
     q = stream.select(F.struct(*[F.col(f"`{c}`") for c in stream.columns]).alias("l_row"), F.col(stream_geom).alias("l_geom"), bounds(F.col(stream_geom)).alias("l_box"))
     meet = F.expr("l_box.xmin <= r_box.xmax and r_box.xmin <= l_box.xmax and l_box.ymin <= r_box.ymax and r_box.ymin <= l_box.ymax")
     exact = call(f"st_{predicate.removeprefix('st_')}", "l_geom", "r_geom")
     names = {c.lower() for c in stream.columns}
-    if small_enough(s):
-        pairs = q.join(F.broadcast(s), meet & exact)
-    else:
-        # Levels of the stream are not known ahead: all from the static side's lowest up to its highest, and the stream's points at its lowest.
-        levels = levels_of(s, "r_box")
-        levels = list(range(levels[0], levels[-1] + 1))
-        once = F.expr("l.cell.k = greatest(l_k, r_k) and l.cell.i = floor(greatest(l_box.xmin, r_box.xmin) / pow(2D, l.cell.k)) and l.cell.j = floor(greatest(l_box.ymin, r_box.ymin) / pow(2D, l.cell.k))")
-        lowest = F.least(F.greatest(own_level("l_box"), F.lit(levels[0])), F.lit(levels[-1]))
-        sc, qc = cell_levels(s, "r_box", levels).withColumn("r_k", own_level("r_box")), cell_levels(q, "l_box", levels).withColumn("l_k", lowest)
-        pairs = qc.alias("l").join(sc.alias("r"), (F.col("l.cell") == F.col("r.cell")) & meet & once & exact)
+    own = levels_of(s, "r_box")
+    levels = ladder(own)
+    once = F.expr("l.cell.k = greatest(l_k, r_k) and l.cell.i = floor(greatest(l_box.xmin, r_box.xmin) / pow(2D, l.cell.k)) and l.cell.j = floor(greatest(l_box.ymin, r_box.ymin) / pow(2D, l.cell.k))")
+    cells = cell_levels(s, "r_box", levels, level="r_k").alias("r")
+    # A small static side is broadcast with its cells; else both sides go to the cells.
+    cells = F.broadcast(cells) if small_enough(s) else cells
+    pairs = cell_levels(q, "l_box", levels, max(own, default=0), "l_k").alias("l").join(cells, (F.col("l.cell") == F.col("r.cell")) & meet & once & exact)
     return pairs.select(*[F.col(f"l_row.`{c}`").alias(c) for c in stream.columns], *[F.col(f"r_row.`{c}`").alias(c if c.lower() not in names else c + "_right") for c in static.columns])
 
 
