@@ -106,3 +106,14 @@ def test_queries_have_sql_and_run(spark):
 
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert queries.QUERIES["point_in_zone_count"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_geoframe(ctx):
+    from geoflux.geoframe import GeoFrame
+
+    g = GeoFrame(ctx.sql("SELECT id, id % 2 AS k, st_geomfromtext(concat('POLYGON((', id, ' 0,', id + 1, ' 0,', id + 1, ' 1,', id, ' 1,', id, ' 0))')) AS geometry FROM range(4)"))
+    assert [r.a for r in g.mutate(a=g.geometry.area).sort("id").collect()] == [1.0] * 4
+    assert g.dissolve("k").mutate(n=F.expr("st_area(geometry)")).sort("k").select("n").collect() == [(2.0,), (2.0,)]
+    assert g.sjoin(g).count() == 10
+    assert g.set_geometry(g.geometry.set_crs(4326)).to_crs("EPSG:3857").select(F.expr("st_srid(geometry)").alias("s")).head(1).collect() == [(3857,)]
+    assert g.mutate(d=g.geometry.distance(g.geometry.centroid)).agg(m=F.max("d")).collect() == [(0.0,)]
