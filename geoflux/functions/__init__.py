@@ -11,13 +11,30 @@ from pyspark.sql import functions as F
 
 from .registry import AGGREGATES, DOCUMENTED, EXPRESSIONS, FUNCTIONS, RASTER_TYPE, register
 
-__all__ = ["AGGREGATES", "DOCUMENTED", "EXPRESSIONS", "FUNCTIONS", "RASTER_TYPE", "call", "register"]
+__all__ = ["AGGREGATES", "DOCUMENTED", "EXPRESSIONS", "FUNCTIONS", "RASTER_TYPE", "call", "lit", "register"]
 
 
 def _column(c) -> Column:
     return c if isinstance(c, Column) else F.col(c) if isinstance(c, str) else F.lit(c)
 
 
+def lit(value, crs: str | int | None = None) -> Column:
+    """A literal. Objects with ``wkb`` (or one-element series of them with ``to_wkb``) become geometries, with their ``crs`` if they have one."""
+    if hasattr(value, "to_wkb"):
+        crs = crs if crs is not None else getattr(value, "crs", None)
+        value = value.to_wkb()
+        value = bytes(value.iloc[0] if hasattr(value, "iloc") else value)
+    elif hasattr(value, "wkb"):
+        value = bytes(value.wkb)
+    else:
+        return F.lit(value)
+    g = F.lit(value)
+    if crs is None:
+        return call("st_geomfromwkb", g)
+    code = crs.to_authority() if hasattr(crs, "to_authority") else None
+    return call("st_geomfromwkb", g, F.lit(":".join(code) if code else str(crs)))
+
+
 def call(name: str, *args) -> Column:
     """A call by name. Strings are column names; other Python values are literals."""
     from pyspark.sql import SparkSession

@@ -20,6 +20,11 @@ from ..functions import call
 from ..plans.grid import bounds, small_enough
 
 
+#: Objects up to this number are broadcast whole.
+FEW = 500
+EARTH = 6371010.0
+
+
 def _column(c: str | Column) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
@@ -56,31 +61,48 @@ def knn_join(query: DataFrame, objects: DataFrame, k: int = 1, query_geom: str |
             F.col("d").alias(distance_col),
         )
 
-    e = o.agg(F.min("o_box.xmin"), F.min("o_box.ymin"), F.max("o_box.xmax"), F.max("o_box.ymax"), F.count("*"), F.avg(F.greatest(F.expr("o_box.xmax - o_box.xmin"), F.expr("o_box.ymax - o_box.ymin")))).head()
-    if e[4] == 0 or k == 0:
-        return shaped(q.limit(0).withColumns({"o_row": F.lit(None).cast(o.schema["o_row"].dataType), "d": F.lit(0.0)}))
-    # Cells on the sphere would need other bounds; there a checked broadcast or one block serves.
-    if use_spheroid or (e[4] <= 2000 and small_enough(o, 8 << 20)):
-        return shaped(best(q.crossJoin(F.broadcast(o)) if e[4] <= 2000 else q.join(o)))
-    x0, y0, x1, y1, n, mean = e
-    extent = max(x1 - x0, y1 - y0, 1e-9)
-    side = max(math.sqrt(max((x1 - x0) * (y1 - y0), extent * extent * 1e-6) * max(k, 1) / n), (mean or 0) * 2, extent / 2**20)
+    nothing = q.limit(0).withColumns({"o_row": F.lit(None).cast(o.schema["o_row"].dataType), "d": F.lit(0.0)})
+    if k == 0:
+        return shaped(nothing)
+    if use_spheroid:
+        # Points go to cells of space: the straight distance between two places is never above the one along the sphere.
+        q, o = (_in_space(df, p) for df, p in ((q, "q"), (o, "o")))
+    axes = ("x", "y", "z") if use_spheroid else ("x", "y")
+    found = o.agg(F.count("*"), F.avg(F.greatest(*[F.expr(f"o_box.{a}max - o_box.{a}min") for a in axes])), *[f(f"o_box.{a}{m}") for a in axes for f, m in ((F.min, "min"), (F.max, "max"))]).head()
+    n, mean, ends = found[0], found[1], found[2:]
+    if n == 0:
+        return shaped(nothing)
+    if n <= FEW:
+        return shaped(best(q.crossJoin(F.broadcast(o))))  # FEW rows at most
+    spans = [hi - lo for lo, hi in zip(ends[::2], ends[1::2], strict=True)]
+    extent = max(*spans, 1e-9)
+    volume = math.prod(max(v, extent * 1e-6) for v in spans)
+    side = max((volume * k / n) ** (1 / len(axes)), (mean or 0) * 2, extent / 2**20)
     done, rest = None, q
-    while True:
-        cell = lambda c: F.floor(F.col(c) / side)  # noqa: B023, E731
-        obj = o.withColumn("i", F.explode(F.sequence(cell("o_box.xmin"), cell("o_box.xmax")))).withColumn("j", F.explode(F.sequence(cell("o_box.ymin"), cell("o_box.ymax"))))
-        last = side >= 2 * extent
-        if last:  # one block for all that is left
-            found = best(rest.crossJoin(F.broadcast(o)) if small_enough(o, 8 << 20) else rest.join(o))
-            return shaped(found if done is None else done.unionByName(found))
-        qry = rest.withColumn("i", F.explode(F.sequence(cell("q_box.xmin") - 1, cell("q_box.xmax") + 1))).withColumn("j", F.explode(F.sequence(cell("q_box.ymin") - 1, cell("q_box.ymax") + 1)))
-        found = best(qry.join(obj, ["i", "j"]).dropDuplicates(["q_id", "o_id"]))
+    while side < 4 * extent:
+        obj, qry = o, rest
+        for a in axes:
+            cell = lambda c: F.floor(F.col(c) / side)  # noqa: B023, E731
+            obj = obj.withColumn(f"cell_{a}", F.explode(F.sequence(cell(f"o_box.{a}min"), cell(f"o_box.{a}max"))))
+            qry = qry.withColumn(f"cell_{a}", F.explode(F.sequence(cell(f"q_box.{a}min") - 1, cell(f"q_box.{a}max") + 1)))
+        got = best(qry.join(obj, [f"cell_{a}" for a in axes]).dropDuplicates(["q_id", "o_id"]))
         # The k-th must lie within one side, else something nearer may lie outside the block.
-        sure = found.groupBy("q_id").agg(F.max("d").alias("far"), F.count("*").alias("have")).where((F.col("far") < side) & (F.col("have") >= k)).select("q_id")
+        sure = got.groupBy("q_id").agg(F.max("d").alias("far"), F.count("*").alias("have")).where((F.col("far") < side) & (F.col("have") >= k)).select("q_id")
         sure = sure.persist(StorageLevel.DISK_ONLY)
-        part = found.join(sure, "q_id", "left_semi")
+        part = got.join(sure, "q_id", "left_semi")
         done = part if done is None else done.unionByName(part)
         rest = rest.join(sure, "q_id", "left_anti")
         if rest.limit(1).count() == 0:
             return shaped(done)
         side *= 4
+    # What is left is as far from the objects as they are from each other, or asks for more than there are.
+    last = best(rest.crossJoin(F.broadcast(o)) if small_enough(o, 8 << 20) else rest.crossJoin(o))
+    return shaped(last if done is None else done.unionByName(last))
+
+
+def _in_space(df: DataFrame, p: str) -> DataFrame:
+    """The box of a point of the sphere as a place in space, in metres."""
+    lon, lat = F.radians(F.col(f"{p}_box.xmin")), F.radians(F.col(f"{p}_box.ymin"))
+    at = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    point = F.when((F.col(f"{p}_box.xmin") == F.col(f"{p}_box.xmax")) & (F.col(f"{p}_box.ymin") == F.col(f"{p}_box.ymax")), F.lit(EARTH)).otherwise(F.raise_error(F.lit("nearest neighbours on the sphere are between points")).cast("double"))
+    return df.withColumn(f"{p}_box", F.struct(*[(v * point).alias(f"{a}{m}") for a, v in at.items() for m in ("min", "max")]))

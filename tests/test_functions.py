@@ -112,3 +112,12 @@ def test_rasters(one):
     assert one(f"st_area(rs_convexhull({r}))") == 6.0
     assert one(f"rs_intersects({r}, st_point(10.5, 19))") is True
     assert one("rs_zonalstats(rs_asraster(st_geomfromtext('POLYGON((10 18,12 18,12 20,10 20,10 18))'), " + r + ", 'uint8'), st_geomfromtext('POLYGON((10 18,12 18,12 20,10 20,10 18))'), 'sum')") == 4.0
+
+
+def test_literals(spark):
+    st.register(spark)
+
+    class Shape:
+        wkb = bytes.fromhex("0101000000000000000000F03F0000000000000040")
+
+    assert spark.range(1).select(st.st_astext(st.lit(Shape())).alias("w"), st.st_srid(st.lit(Shape(), "EPSG:3857")).alias("s"), st.lit(5).alias("n")).head() == ("POINT(1 2)", 3857, 5)

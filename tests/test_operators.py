@@ -79,6 +79,14 @@ def test_knn_join_in_cells(spark, monkeypatch):
     assert pairs(knn_join(q, o, 4, "ga", "gb", tie_break="b")) == pairs(want)
 
 
+def test_knn_on_the_sphere(spark):
+    st.register(spark)
+    q = spark.range(60).selectExpr("id AS a", "st_point((id * 7919) % 360 - 180, (id * 104729) % 170 - 85) AS ga")
+    o = spark.range(900).selectExpr("id AS b", "st_point((id * 31) % 360 - 180, (id * id) % 171 - 85) AS gb")
+    want = q.crossJoin(o).selectExpr("a", "b", "st_distance(st_togeography(ga), st_togeography(gb)) AS d").selectExpr("a", "b", "row_number() OVER (PARTITION BY a ORDER BY d, b) AS r").where("r <= 3")
+    assert pairs(knn_join(q, o, 3, "ga", "gb", use_spheroid=True, tie_break="b")) == pairs(want)
+
+
 def test_empty_sides(sides):
     a, b = sides
     assert spatial_join(a.limit(0), b, "within", "ga", "gb", broadcast_bytes=0).count() == 0
