@@ -15,7 +15,7 @@ STATS_TYPE = "struct<count:bigint,sum:double,mean:double,median:double,mode:doub
 TYPES = {
     "G": "binary", "D": "double", "I": "int", "L": "bigint", "B": "boolean", "S": "string", "R": RASTER_TYPE,
     "dump": "array<struct<path:array<int>,geom:binary>>", "cells": "array<bigint>", "bounds": "struct<xmin:double,ymin:double,xmax:double,ymax:double>",
-    "doubles": "array<double>", "stats": STATS_TYPE, "tiles": f"array<struct<x:int,y:int,rast:{RASTER_TYPE}>>", "polygons": "array<struct<geom:binary,value:double>>",
+    "doubles": "array<double>", "stats": STATS_TYPE, "tiles": f"array<struct<x:int,y:int,tile:{RASTER_TYPE}>>", "polygons": "array<struct<geom:binary,value:double>>",
 }
 
 # Fixed names of the functions: type of the result, then names with the least and greatest number of arguments.

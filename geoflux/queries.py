@@ -230,7 +230,7 @@ def raster_value(spark, d):
     return table(spark, d, "nation").selectExpr("cast(n_nationkey as bigint) AS k", f"rs_value({RASTER}, st_point(n_nationkey + 3.5, 29.5 - n_nationkey)) AS v")
 
 
-@query(f"SELECT count(*)::BIGINT AS n, sum(v)::DOUBLE AS s, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi, round(avg(v), 6) AS m, round(stddev_pop(v), 6) AS sd, median(v)::DOUBLE AS md FROM ({_PIX}) WHERE c >= 5 AND c < 20 AND r >= 10 AND r < 22")
+@query(f"SELECT count(*)::BIGINT AS n, sum(v)::DOUBLE AS s, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi, round(avg(v), 6) AS m, round(stddev_samp(v), 6) AS sd, median(v)::DOUBLE AS md FROM ({_PIX}) WHERE c >= 5 AND c < 20 AND r >= 10 AND r < 22")
 def raster_zonal_stats(spark, d):
     s = spark.range(1).selectExpr(f"rs_zonalstatsall({RASTER}, st_geomfromtext('POLYGON((5 8,20 8,20 20,5 20,5 8))')) AS s")
     return s.selectExpr("s.count AS n", "s.sum AS s", "s.min AS lo", "s.max AS hi", "round(s.mean, 6) AS m", "round(s.stddev, 6) AS sd", "s.median AS md")
@@ -238,7 +238,7 @@ def raster_zonal_stats(spark, d):
 
 @query(f"SELECT (c // 16)::INTEGER AS x, (r // 16)::INTEGER AS y, count(*)::BIGINT AS n, sum(v)::DOUBLE AS s FROM ({_PIX}) GROUP BY 1, 2")
 def raster_tiles(spark, d):
-    t = spark.range(1).selectExpr(f"explode(rs_tile({RASTER}, 16, 16)) AS t").selectExpr("t.x AS x", "t.y AS y", "rs_zonalstatsall(t.rast, rs_convexhull(t.rast)) AS s")
+    t = spark.range(1).selectExpr(f"explode(rs_tile({RASTER}, 16, 16)) AS t").selectExpr("t.x AS x", "t.y AS y", "rs_zonalstatsall(t.tile, rs_convexhull(t.tile)) AS s")
     return t.selectExpr("x", "y", "s.count AS n", "s.sum AS s")
 
 

@@ -106,6 +106,8 @@ def test_rasters(one):
     assert one(f"rs_shape(rs_slicerange({r}, 'x', 0, 2))") == [2, 2]
     assert one(f"rs_numbands(rs_dimtoband(rs_bandtodim({r}, 'time'), 'time'))") == 1
     assert one(f"size(rs_tile({r}, 2, 2))") == 2
+    assert one(f"rs_bandpixeltype({r})") == "SIGNED_16BITS" and one("rs_value(rs_setcrs(rs_example(), '0'), rs_pixelascentroid(rs_setcrs(rs_example(), '0'), 1, 1), 1)") is None and one("rs_bandnodatavalue(rs_example())") == 127.0
+    assert one(f"rs_zonalstats({r}, st_geomfromtext('POLYGON((10 18,12 18,12 20,10 20,10 18))'), 'variance')") == pytest.approx(10 / 3)
     assert one(f"rs_georeference({r})").split() == ["1.000000", "0.000000", "0.000000", "-1.000000", "10.000000", "20.000000"]
     assert one(f"rs_value(rs_fromgdalraster(rs_asgeotiff({r})), st_point(12.5, 18.5))") == 6.0
     assert one(f"rs_crs(rs_setcrs({r}, 'EPSG:3857'))") == "EPSG:3857"
