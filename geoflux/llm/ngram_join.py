@@ -5,16 +5,16 @@ into segments, those differences cannot touch H+1 of them, so linked sets
 agree on one segment at least among any H+1. For each band of sizes the
 universe has a quarter more segments than that. Each set indexes its subset of
 every segment and probes with the H+1 of least cost, the cost being the
-expected length of the posting list, which falls with the size of the subset;
-empty subsets, which cost most, are neither indexed nor probed. Sets with too
-few subsets get a budget of one difference on others instead: they index and
+expected length of the posting list, which falls steeply with the size of the
+subset. Empty subsets, which cost most, are neither indexed nor probed. Sets
+with too few subsets get a budget of one difference on the others instead: they index and
 probe their one-deletion neighbourhoods.
 
 Equal sets are one class and are joined once. In a bucket of equal
 signatures, all classes are first held against one of them; only what lies in
-different components after that is held pairwise. So a large group of near
-copies costs about one comparison a member, and no link between components is
-lost. Every link is verified on the whole shingle sets.
+different components after that is held pairwise, if the parities of the sets
+allow a link at all. So a large group of near copies costs about one
+comparison a member, and no link between components is lost. Every link is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .common import Scratch, components
 
 #: Segments for each one that pigeonhole needs: the rest may be left out as too frequent.
 SLACK = 1.25
+#: Turns in which the members of a bucket meet one centre, before what is still apart meets pairwise.
+STARS = 2
 #: Distinct words whose hashes a worker holds.
 WORD_CACHE = 500_000
 LARGEST = 2**40
@@ -88,16 +90,20 @@ class Bands:
         """The most elements in which linked sets of these sizes can differ."""
         return (n1 + n2) * (100 - self.percent) // (100 + self.percent)
 
+    def most(self, band: int) -> int:
+        """The most differences of linked sets in this band and the next."""
+        return self.differences(self.low[band + 2] - 1, self.low[band + 2] - 1)
+
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Signatures of a set, int64, the last bit telling probes from mere index entries."""
+        """Signatures of a set in its two bands, int64, the last bit telling probes from mere index entries."""
         n, out = len(s), []
         if n == 0:
             return np.empty(0, np.int64)
         with np.errstate(over="ignore"):
             e = _mix(s ^ np.uint64(0x9E3779B97F4A7C15))
-            for band in {max(0, self.of(n) - 1), self.of(n)}:
+            for band in sorted({max(0, self.of(n) - 1), self.of(n)}):
                 top = self.low[band + 2] - 1
-                most = self.differences(top, top)
+                most = self.most(band)
                 if most == 0:
                     continue  # only equal sets link here, and they are one class
                 m = int(SLACK * (most + 1)) + 2
@@ -120,6 +126,11 @@ class Bands:
         return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
+def _name(s: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, n, cid, chk, sigs): 128 bits that name the set; signatures once for each set in a task."""
 
@@ -130,7 +141,7 @@ def _digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 part, n, names, sigs = batch.slice(i, 500), [], [], []
                 for t in part.column(1):
                     s = shingles(t.as_py(), words)
-                    name = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    name = _name(s)
                     n.append(len(s))
                     names.append(name)
                     sigs.append(np.empty(0, np.int64) if name in seen else bands.signatures(s))
@@ -145,16 +156,28 @@ def _digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, cid long, chk long, sigs array<long>")
 
 
+def _parity(s: np.ndarray) -> list[int]:
+    """1,024 bits, each the parity of the elements of one cell: sets differ in at least as many elements as their parities in bits."""
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(cid, text) to (cid, shingles binary)."""
+    """(cid, text) to (cid, shingles binary, n, parity), of the texts whose set the cid names (ids can be repeated)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in part.column(1)], pa.binary())], names=["cid", "shingles"])
+                both = [(c, shingles(t, words)) for c, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                both = [(c, x) for c, x in both if int.from_bytes(_name(x)[:8], "little", signed=True) == c]
+                sets = [x for _, x in both]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c for c, _ in both], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_parity(x) for x in sets], pa.list_(pa.int64()))],
+                    names=["cid", "shingles", "n", "parity"],
+                )
 
-    return docs.mapInArrow(run, "cid long, shingles binary")
+    return docs.mapInArrow(run, "cid long, shingles binary, n long, parity array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,35 +227,50 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     by_sig = Window.partitionBy("sig")
     sigs = digest.where("size(sigs) > 0").select("cid", F.explode("sigs").alias("x")).select(F.shiftrightunsigned("x", 1).alias("sig"), F.col("x").bitwiseAND(1).alias("probe"), "cid")
     members = (
-        sigs.withColumns({"pivot": F.min("cid").over(by_sig), "last": F.max("cid").over(by_sig), "probed": F.max("probe").over(by_sig)})
-        .where("pivot < last and probed = 1")
-        .select("sig", "probe", "cid", "pivot")
+        sigs.withColumns({"low": F.min("cid").over(by_sig), "high": F.max("cid").over(by_sig), "probed": F.max("probe").over(by_sig), "size": F.count("*").over(by_sig)})
+        .where("low < high and probed = 1")
+        .select("sig", "probe", "cid", "size")
     )
     members = scratch.save(members)
-    some = members.select("cid").distinct().join(classes, "cid").where("rep is not null").select("cid", "rep")
-    sets = scratch.save(_sets(rows.join(some, F.col("id") == F.col("rep")).select("cid", "text"), words).dropDuplicates(["cid"]))
-    star = members.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-    links = scratch.save(_verified(star, sets, percent))
-    node = some.select("cid", F.col("rep").alias("node"))
-
-    def labelled(links: DataFrame) -> DataFrame:
-        ends = links.join(node.withColumnRenamed("cid", "a").withColumnRenamed("node", "na"), "a").join(node.withColumnRenamed("cid", "b").withColumnRenamed("node", "nb"), "b")
-        return components(ends.select(F.col("na").alias("a"), F.col("nb").alias("b")), scratch)
-
-    label = labelled(links)
-    placed = members.join(node, "cid").join(label, "node", "left").select("sig", "probe", "cid", F.coalesce("component", "node").alias("comp"))
-    apart = placed.withColumns({"lo": F.min("comp").over(by_sig), "hi": F.max("comp").over(by_sig)}).where("lo < hi").select("sig", "probe", "cid", "comp")
-    apart = scratch.save(apart)
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = (
-        x.join(y, F.expr("x.sig = y.sig and x.comp < y.comp and x.probe + y.probe > 0"))
-        .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = scratch.save(_verified(rest, sets, percent))
-    if more.limit(1).count():
-        label = labelled(links.union(more))
+    # The text that others were copied from shares most signatures with most texts; it makes the best centre.
+    weight = members.groupBy("cid").agg(F.sum("size").alias("weight"))
+    some = scratch.save(weight.join(classes, "cid").where("rep is not null").select("cid", F.col("rep").alias("node"), "weight"))
+    wanted = rows.join(some, F.col("id") == F.col("node")).select("cid", "text")
+    sets = scratch.save(_sets(wanted, words))
+    apart = scratch.save(members.join(some, "cid").select("sig", "probe", "cid", "weight", F.col("node").alias("comp")))
+    scratch.drop(members)
+    ends = some.select(F.col("cid").alias("a"), F.col("node").alias("na")), some.select(F.col("cid").alias("b"), F.col("node").alias("nb"))
+    tried = links = label = None
+    for turn in range(STARS + 1):
+        if turn < STARS:
+            centre = F.max(F.struct("weight", "cid", "comp")).over(by_sig)
+            pairs = apart.withColumn("c", centre).where("comp <> c.comp").select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b"))
+        else:
+            # Parities rule out most of what is near the threshold but below it before a pair is made.
+            told = apart.join(sets.select("cid", "n", "parity"), "cid")
+            x, y = told.alias("x"), told.alias("y")
+            apart_bits = " + ".join(f"bit_count(x.parity[{i}] ^ y.parity[{i}])" for i in range(16))
+            near = f"x.sig = y.sig and x.comp < y.comp and x.probe + y.probe > 0 and {apart_bits} <= (x.n + y.n) * {100 - percent} / {100 + percent}"
+            pairs = x.join(y, F.expr(near)).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+        pairs = pairs.distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.save(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
+        more = scratch.save(_verified(pairs, sets, percent))
+        links = more if links is None else links.union(more)
+        if turn == 0 or more.limit(1).count():
+            both = links.join(ends[0], "a").join(ends[1], "b")
+            label = components(both.select(F.col("na").alias("a"), F.col("nb").alias("b")), scratch)
+        if turn < STARS:
+            placed = apart.join(some.select("cid", "node"), "cid").join(label, "node", "left")
+            # A centre has met its bucket; it stands back, so that the next turn has another one.
+            spent = F.when(F.col("cid") == F.max(F.struct("weight", "cid")).over(by_sig)["cid"], -F.abs("weight")).otherwise(F.col("weight"))
+            placed = placed.select("sig", "probe", "cid", spent.alias("weight"), F.coalesce("component", "node").alias("comp"))
+            placed = placed.withColumns({"low": F.min("comp").over(by_sig), "high": F.max("comp").over(by_sig)}).where("low < high").drop("low", "high")
+            apart = scratch.save(placed)
+            if not apart.limit(1).count():
+                break
     found = classes.join(label, F.col("rep") == F.col("node"), "left").select("cid", "chk", "rep", F.coalesce("component", "rep").alias("component"))
     out = digest.select("id", "n", "cid", "chk").join(found, ["cid", "chk"], "left")
     return out.select(
