@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..ship import ship
-from .common import Scratch, components
+from .common import Scratch, bloom_joins, components
 
 #: Segments for each one that pigeonhole needs: the rest may be left out as too frequent.
 SLACK = 1.25
@@ -235,8 +235,9 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     # The text that others were copied from shares most signatures with most texts; it makes the best centre.
     weight = members.groupBy("cid").agg(F.sum("size").alias("weight"))
     some = scratch.save(weight.join(classes, "cid").where("rep is not null").select("cid", F.col("rep").alias("node"), "weight"))
-    wanted = rows.join(some, F.col("id") == F.col("node")).select("cid", "text")
-    sets = scratch.save(_sets(wanted, words))
+    with bloom_joins(spark):
+        wanted = rows.join(some.where("weight > 0"), F.col("id") == F.col("node")).select("cid", "text")
+        sets = scratch.save(_sets(wanted, words))
     apart = scratch.save(members.join(some, "cid").select("sig", "probe", "cid", "weight", F.col("node").alias("comp")))
     scratch.drop(members)
     ends = some.select(F.col("cid").alias("a"), F.col("node").alias("na")), some.select(F.col("cid").alias("b"), F.col("node").alias("nb"))
