@@ -77,6 +77,18 @@ def bloom_joins(spark: SparkSession):
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

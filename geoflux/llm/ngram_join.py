@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..ship import ship
-from .common import Scratch, bloom_joins, components
+from .common import Scratch, bloom_joins, components, release
 
 #: Segments for each one that pigeonhole needs: the rest may be left out as too frequent.
 SLACK = 1.25
 #: Turns in which the members of a bucket meet one centre, before what is still apart meets pairwise.
 STARS = 2
 #: Distinct words whose hashes a worker holds.
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 LARGEST = 2**40
 
 
@@ -152,6 +152,8 @@ def _digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     [part.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))],
                     names=["id", "n", "cid", "chk", "sigs"],
                 )
+        _words.clear()
+        release()
 
     return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, cid long, chk long, sigs array<long>")
 
@@ -176,6 +178,8 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                     [pa.array([c for c, _ in both], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_parity(x) for x in sets], pa.list_(pa.int64()))],
                     names=["cid", "shingles", "n", "parity"],
                 )
+        _words.clear()
+        release()
 
     return docs.mapInArrow(run, "cid long, shingles binary, n long, parity array<long>")
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Scratch, without
+from .common import Scratch, release, without
 
 TRIGRAMS, SHAPES = 1 << 16, 1 << 11
 #: Labelled rows of each class that are used, those of least hash; they are broadcast.
@@ -51,7 +51,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the trigrams and of the shape pairs of a whole text."""
     b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     tri = ((b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)) if len(b) > 2 else np.empty(0, np.uint32)
-    if len(_words) > 300_000:
+    if len(_words) > 200_000:
         _words.clear()
     w = text.split()
     v = np.fromiter(map(_words.__getitem__, w), np.int64, len(w))
@@ -72,6 +72,8 @@ def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     if len(tri) <= 4096:
                         np.add.at(both[k], tri, 1)
                     np.add.at(both[k], pair + TRIGRAMS, 1)
+        _words.clear()
+        release()
         at = np.flatnonzero(both[0])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(both[0, at]), pa.array(both[1, at])], names=["bucket", "raw", "target"])
 
@@ -138,6 +140,8 @@ def _score(docs: DataFrame, shared, text_col: str, name: str) -> DataFrame:
         for batch in batches:
             w = [model.log_weight(t.as_py()) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w, pa.float64())], names=[f.name for f in schema])
+        _words.clear()
+        release()
 
     return docs.mapInArrow(run, schema)
 
