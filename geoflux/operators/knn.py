@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import call
 from ..plans.grid import bounds, small_enough
+from ..plans.stable import stable
 
 
 #: Objects up to this number are broadcast whole.
@@ -44,7 +44,7 @@ def knn_join(query: DataFrame, objects: DataFrame, k: int = 1, query_geom: str |
     conv = (lambda c: call("st_togeography", c)) if use_spheroid else (lambda c: c)
     q = query.select(F.struct(*[F.col(f"`{c}`") for c in query.columns]).alias("q_row"), conv(_column(query_geom)).alias("q_geom"), bounds(_column(query_geom)).alias("q_box"), F.monotonically_increasing_id().alias("q_id"))
     o = objects.select(F.struct(*[F.col(f"`{c}`") for c in objects.columns]).alias("o_row"), conv(_column(object_geom)).alias("o_geom"), bounds(_column(object_geom)).alias("o_box"), F.monotonically_increasing_id().alias("o_id"))
-    q, o = q.where("q_box is not null").persist(StorageLevel.DISK_ONLY), o.where("o_box is not null").persist(StorageLevel.DISK_ONLY)
+    q, o = stable(q.where("q_box is not null")), stable(o.where("o_box is not null"))
     order = [F.col("d"), F.col(f"o_row.`{tie_break}`") if tie_break else F.col("o_id"), F.col("o_id")]
     near = Window.partitionBy("q_id").orderBy(*order)
     rank = (F.rank() if ties else F.row_number()).over(Window.partitionBy("q_id").orderBy("d") if ties else near)
@@ -88,7 +88,7 @@ def knn_join(query: DataFrame, objects: DataFrame, k: int = 1, query_geom: str |
         got = best(qry.join(obj, [f"cell_{a}" for a in axes]).dropDuplicates(["q_id", "o_id"]))
         # The k-th must lie within one side, else something nearer may lie outside the block.
         sure = got.groupBy("q_id").agg(F.max("d").alias("far"), F.count("*").alias("have")).where((F.col("far") < side) & (F.col("have") >= k)).select("q_id")
-        sure = sure.persist(StorageLevel.DISK_ONLY)
+        sure = stable(sure)
         part = got.join(sure, "q_id", "left_semi")
         done = part if done is None else done.unionByName(part)
         rest = rest.join(sure, "q_id", "left_anti")

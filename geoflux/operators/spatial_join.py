@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import call
 from ..plans.grid import BROADCAST_BYTES, LOWEST, bounds, cell_levels, ladder, levels_of, small_enough
+from ..plans.stable import stable
 
 PREDICATES = ("intersects", "contains", "within", "covers", "coveredby", "touches", "crosses", "overlaps", "equals")
 HOW = {
@@ -44,6 +45,12 @@ def _boxed(df: DataFrame, side: str, geom: str | Column, box: Column | None, gro
     return out
 
 
+def _kept(left: DataFrame, right: DataFrame, how: str) -> tuple[DataFrame, DataFrame]:
+    """Sides that the join looks at twice keep the ids of their rows."""
+    kind = HOW[how]
+    return (left if kind in ("inner", "right", "right_semi", "right_anti") else stable(left)), (right if kind not in ("right", "full", "right_semi", "right_anti") else stable(right))
+
+
 def _pairs(left: DataFrame, right: DataFrame, exact: Column, limit: int) -> DataFrame:
     """The pairs of boxed sides that pass the exact test, each once."""
     meet = F.expr("l_box.xmin <= r_box.xmax and r_box.xmin <= l_box.xmax and l_box.ymin <= r_box.ymax and r_box.ymin <= l_box.ymax")
@@ -106,6 +113,7 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects
     if how not in HOW:
         raise ValueError(f"not a kind of join: {how}")
     lb, rb = _boxed(left, "l", left_geom, left_box, None), _boxed(right, "r", right_geom, right_box, None)
+    lb, rb = _kept(lb, rb, how)
     exact = call(f"st_{predicate}", "l_geom", "r_geom")
     if condition:
         exact = exact & F.expr(condition)
@@ -121,6 +129,7 @@ def distance_join(left: DataFrame, right: DataFrame, distance: float | str | Col
     """
     by = F.lit(float(distance)) if isinstance(distance, (int, float)) else _column(distance)
     lb, rb = _boxed(left, "l", left_geom, None, by), _boxed(right, "r", right_geom, None, None)
+    lb, rb = _kept(lb, rb, how)
     exact = call("st_distance", "l_geom", "r_geom") < F.col("by") if strict else call("st_dwithin", "l_geom", "r_geom", F.col("by"))
     if condition:
         exact = exact & F.expr(condition)
