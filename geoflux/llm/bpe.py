@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..ship import ship
-from .common import release, without
+from .common import release, using, without
 
 #: Entries in each cache of a worker; a full cache is emptied.
-CACHE = 400_000
+CACHE = 350_000
 #: Text bytes in one block, bytes of words in one recursive query, and ids in one decoding query: they bound the worker's memory.
-BLOCK_BYTES, QUERY_BYTES, QUERY_IDS = 5_000_000, 600_000, 1_000_000
+BLOCK_BYTES, QUERY_BYTES, QUERY_IDS = 3_000_000, 400_000, 750_000
 #: Words above this many bytes go to the query that contracts many pairs at once.
 LONG = 128
 #: State rows that a recursive query over long words may gather before it is taken up anew.
@@ -272,6 +272,7 @@ def codec(vocabulary: str, pattern: str | None = None) -> Codec:
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
+    using("bpe", _codecs.clear)
     key = (vocabulary, pattern)
     if key not in _codecs:
         _codecs[key] = Codec(*key)

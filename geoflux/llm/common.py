@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,17 @@ def bloom_joins(spark: SparkSession):
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def using(name: str, clear: Callable[[], None]) -> None:
+    """Called where a task begins to use the worker's caches of a module: those of other modules are emptied first."""
+    for other in [n for n in _held if n != name]:
+        _held.pop(other)()
+        release()
+    _held[name] = clear
+
+
 def release() -> None:
     """Gives memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
     import ctypes

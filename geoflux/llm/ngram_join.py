@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..ship import ship
-from .common import Scratch, bloom_joins, components, release
+from .common import Scratch, bloom_joins, components, release, using
 
 #: Segments for each one that pigeonhole needs: the rest may be left out as too frequent.
 SLACK = 1.25
@@ -135,6 +135,7 @@ def _digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, n, cid, chk, sigs): 128 bits that name the set; signatures once for each set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("ngram_join", _words.clear)
         bands, seen = Bands(percent), set()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):

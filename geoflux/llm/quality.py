@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Scratch, release, without
+from .common import Scratch, release, using, without
 
 TRIGRAMS, SHAPES = 1 << 16, 1 << 11
 #: Labelled rows of each class that are used, those of least hash; they are broadcast.
@@ -63,6 +63,7 @@ def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts of all buckets over the raw texts and the target texts; docs: (text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("quality", _words.clear)
         both = np.zeros((2, TRIGRAMS + SHAPES), np.int64)
         for batch in batches:
             for t, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -136,6 +137,7 @@ def _score(docs: DataFrame, shared, text_col: str, name: str) -> DataFrame:
     schema = docs.limit(0).withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("quality", _words.clear)
         model = shared.value
         for batch in batches:
             w = [model.log_weight(t.as_py()) for t in batch.column(text_col)]
