@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..ship import ship
-from .common import release, using, without
+from .common import using, without
 
 #: Entries in each cache of a worker; a full cache is emptied.
-CACHE = 350_000
+CACHE = 400_000
 #: Text bytes in one block, bytes of words in one recursive query, and ids in one decoding query: they bound the worker's memory.
-BLOCK_BYTES, QUERY_BYTES, QUERY_IDS = 3_000_000, 400_000, 750_000
+BLOCK_BYTES, QUERY_BYTES, QUERY_IDS = 4_000_000, 500_000, 1_000_000
 #: Words above this many bytes go to the query that contracts many pairs at once.
 LONG = 128
 #: State rows that a recursive query over long words may gather before it is taken up anew.
@@ -112,7 +112,7 @@ class Codec:
                     a.append(left), b.append(right), k.append(rank << 24 | min(i, 255))
         self.adjacent = adjacent  # of two bytes: some token holds them side by side
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self.db.execute("SET enable_progress_bar = false")
         for name, columns in (
             ("merges", {"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "k": pa.array(k, pa.int64())}),
@@ -361,7 +361,6 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc
                     ],
                     names=[f.name for f in schema],
                 )
-        release()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
