@@ -1,15 +1,16 @@
 """Near duplicates among embeddings by product quantisation with exact rerank.
 
 Coarse inverted lists and codes of residual subspaces are fitted on a bounded
-sample; every vector is indexed. A vector probes the lists nearest to it.
+sample; every vector is indexed. A vector probes every list whose cell and
+shell can hold a vector within the radius, so no list is left out by a count.
 Distances to the members of a list come from tables by their codes. A member
 whose table distance exceeds the radius by more than its own known
 quantisation error cannot be a neighbour, so the lookup loses nothing; what
 remains is held to the exact cosine in double precision.
 
-Lists are cut into chunks of members and of queries, so no task holds a whole
-list; a task returns counts and a spanning forest of its links, never all
-pairs. Equal vectors are indexed once.
+Near lists form groups, cut into chunks of members and of queries, so no task
+holds a whole group; a pair meets in one task, which returns counts and a
+spanning forest of its links, never all pairs. Equal vectors are indexed once.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ from .common import Scratch, components
 SAMPLE = 16_384
 MAX_LISTS = 1024
 SUBSPACES, CODES = 8, 256
-#: Lists a vector probes (all, if there are at most PROBE_ALL).
-PROBES, PROBE_ALL = 12, 32
-CHUNK = 1024
+#: Members and queries that meet in a task at once, and members that it looks up at a time.
+CHUNK, STEP = 8192, 512
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
@@ -63,8 +63,18 @@ class Index:
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [_kmeans(r[:, c], CODES, 6, rng) for c in self.cuts]
 
-    def probes(self, x: np.ndarray) -> np.ndarray:
-        return _nearest(x, self.coarse, len(self.coarse) if len(self.coarse) <= PROBE_ALL else PROBES).astype(np.int32)
+    def reach(self, x: np.ndarray, own: np.ndarray, lists: np.ndarray, shells: np.ndarray, radius: float) -> np.ndarray:
+        """Whether a list can hold a vector within the radius of a row, for rows (in the cells ``own``) and lists.
+
+        The members of a list are nearer to its centre than to the row's own, so they lie beyond the plane between
+        the two; and their distances from its centre lie between the bounds in ``shells``.
+        """
+        c, mine = self.coarse[lists], self.coarse[own]
+        to = ((x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * x @ c.T).clip(0)
+        gap = np.sqrt(((mine**2).sum(1)[:, None] + (c**2).sum(1) - 2 * mine @ c.T).clip(1e-12))
+        plane = (to - ((x - mine) ** 2).sum(1)[:, None]) / (2 * gap)
+        far = np.sqrt(to)
+        return (plane <= radius + 1e-6) & (far <= shells[lists, 1] + radius + 1e-6) & (far >= shells[lists, 0] - radius - 1e-6)
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and the quantisation error of each vector."""
@@ -73,33 +83,28 @@ class Index:
         back = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
         return codes, np.sqrt(((r - back) ** 2).sum(1))
 
-    def distances(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of queries to the coded members of a list, by table lookup."""
-        r = queries - self.coarse[at]
-        out = np.zeros((len(queries), len(codes)))
-        for i, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            table = ((r[:, c][:, None, :] - b[None]) ** 2).sum(2)
-            out += table[:, codes[:, i]]
-        return np.sqrt(out)
-
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """Products of the queries with the codes of each subspace; they serve all lists."""
+        return [(b @ queries[:, c].T).astype(np.float32) for c, b in zip(self.cuts, self.books, strict=True)]
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links a-b, by union-find."""
-    root: dict[int, int] = {}
+    def decode(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        return self.coarse[lists] + np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
 
-    def find(x: int) -> int:
-        while (p := root.setdefault(x, x)) != x:
-            root[x] = x = root.setdefault(p, p)
-        return x
 
-    out = []
-    # Links of the same first end share a root after the first, so most are settled by one look.
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links a-b: each end but the least of its component, and that least end."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(x):
+        p, q = root[x], root[y]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    child = np.nonzero(root != np.arange(len(ids)))[0]
+    return ids[child], ids[root[child]]
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -139,24 +144,48 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
                 part = batch.slice(i, 1000)
                 raw = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 u = _unit(raw)
-                probes = shared.value.probes(u)
-                codes, error = shared.value.encode(u, probes[:, 0])
+                own = _nearest(u, shared.value.coarse)[:, 0].astype(np.int32)
+                codes, error = shared.value.encode(u, own)
+                depth = np.sqrt(((u - shared.value.coarse[own]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), part.column(2), pa.array([r.tobytes() for r in u], pa.binary()), pa.array(probes[:, 0]), pa.array(probes.tolist(), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
-                    names=["rep", "w", "u", "own", "probes", "codes", "error"],
+                    [part.column(1), part.column(2), pa.array([r.tobytes() for r in u], pa.binary()), pa.array(own), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(depth)],
+                    names=["rep", "w", "u", "own", "codes", "error", "depth"],
                 )
 
-    placed = scratch.save(classes.mapInArrow(place, "rep long, w long, u binary, own int, probes array<int>, codes binary, error double"))
-    members = {r.own: r.n for r in placed.groupBy("own").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
-    asked = {r.at: r.n for r in placed.select(F.explode("probes").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect()}
-    chunks = [(at, -(-n // CHUNK), -(-asked.get(at, 1) // CHUNK)) for at, n in members.items()]
+    placed = scratch.save(classes.mapInArrow(place, "rep long, w long, u binary, own int, codes binary, error double, depth double"))
+    filled = placed.groupBy("own").agg(F.count("*").alias("n"), F.min("depth").alias("lo"), F.max("depth").alias("hi")).collect()  # at most MAX_LISTS rows
+    # Lists of near centres share a group, so a row goes to a group once for all lists that it probes there.
+    n_groups = min(len(index.coarse), -(-total // CHUNK))
+    group = _nearest(index.coarse, _kmeans(index.coarse, n_groups, 8, np.random.default_rng(5)))[:, 0]
+    shells = np.full((len(index.coarse), 2), [np.inf, -np.inf])
+    sizes_of = dict.fromkeys(group.tolist(), 0)
+    for r in filled:
+        shells[r.own] = r.lo, r.hi
+        sizes_of[int(group[r.own])] += r.n
+    radius = float(np.sqrt(2 - 2 * cosine)) + 1e-6
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with the groups that hold a list in reach; a pair of groups meets in the later one."""
+        which = [(g, np.nonzero(group == g)[0]) for g in sorted(sizes_of)]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                u = np.frombuffer(b"".join(part.column(0).to_pylist()), np.float64).reshape(part.num_rows, -1)
+                own = part.column(1).to_numpy()
+                near = np.stack([(g >= group[own]) & shared.value.reach(u, own, lists, shells, radius).any(1) for g, lists in which], 1)
+                at = pa.array([[which[k][0] for k in np.nonzero(row)[0]] for row in near], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(2), at], names=["rep", "groups"])
+
+    groups = scratch.save(placed.select("u", "own", "rep").mapInArrow(ask, "rep long, groups array<int>"))
+    asked = {r.at: r.n for r in groups.select(F.explode("groups").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect()}  # a row a group
+    chunks = [(g, -(-n // CHUNK), -(-asked.get(g, 1) // CHUNK)) for g, n in sizes_of.items() if n]
     chunks = F.broadcast(spark.createDataFrame(chunks, "at int, nm int, nq int"))
+    in_group = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "own int, at int"))
     h = F.xxhash64("rep")
-    shared_columns = ["rep", "w", "u", "own", "probes", "codes", "error"]
-    left = placed.withColumn("at", F.col("own")).join(chunks, "at").withColumn("i", F.pmod(h, "nm").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, nq - 1)")))
-    right = placed.withColumn("at", F.explode("probes")).join(chunks, "at").withColumn("j", F.pmod(h, "nq").cast("int")).withColumn("i", F.explode(F.expr("sequence(0, nm - 1)")))
+    shared_columns = ["rep", "w", "u", "own", "codes", "error"]
+    left = placed.join(in_group, "own").join(chunks, "at").withColumn("i", F.pmod(h, "nm").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, nq - 1)")))
+    right = placed.join(groups, "rep").withColumn("at", F.explode("groups")).join(chunks, "at").withColumn("j", F.pmod(h, "nq").cast("int")).withColumn("i", F.explode(F.expr("sequence(0, nm - 1)")))
     both = left.select("at", "i", "j", F.lit(True).alias("member"), *shared_columns).union(right.select("at", "i", "j", F.lit(False).alias("member"), *shared_columns))
-    radius = float(np.sqrt(2 - 2 * cosine)) + 1e-6
 
     def pairs(t: pa.Table) -> pa.Table:
         is_member = t["member"].to_numpy(zero_copy_only=False)
@@ -167,37 +196,48 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
             return none
         block = lambda name, kind, rows: np.frombuffer(b"".join(t[name].take(pa.array(rows)).to_pylist()), kind).reshape(len(rows), -1)
         own, rep, w = (t[c].to_numpy() for c in ("own", "rep", "w"))
-        um, uq = block("u", np.float64, m), block("u", np.float64, q)
-        near = shared.value.distances(uq, int(t["at"][0].as_py()), block("codes", np.uint8, m)) <= radius + t["error"].to_numpy()[m][None]
-        near &= rep[q][:, None] != rep[m][None]
-        qi, mi = np.nonzero(near)
-        if len(qi) == 0:
-            return none
-        if len(qi) * 4 > near.size:
-            exact = uq @ um.T
-            keep = exact[qi, mi] >= cosine
-        else:
-            keep = np.concatenate([np.einsum("ij,ij->i", uq[qi[s : s + 65536]], um[mi[s : s + 65536]]) >= cosine for s in range(0, len(qi), 65536)])
-        qi, mi = qi[keep], mi[keep]
-        if len(qi) == 0:
-            return none
-        # The member's side counts here only where the member does not itself probe the query's list.
-        probes = np.array(t["probes"].take(pa.array(m)).to_pylist())
-        blind = ~(probes[mi] == own[q][qi][:, None]).any(1)
-        n_q = np.bincount(qi, w[m][mi], len(q)).astype(np.int64)
-        n_m = np.bincount(mi[blind], w[q][qi[blind]], len(m)).astype(np.int64)
-        a, b = rep[q][qi], rep[m][mi]
-        edges = _forest(a, b)
-        ids = np.concatenate([rep[q], rep[m]])
-        n = np.concatenate([n_q, n_m])
+        m = m[np.argsort(own[m], kind="stable")]  # members list by list
+        um, uq, codes, error = block("u", np.float64, m), block("u", np.float64, q), block("codes", np.uint8, m), t["error"].to_numpy()[m]
+        known, lists = shared.value, np.unique(own[m])
+        back = known.decode(codes, own[m])
+        # A table distance is at most the radius and the member's error just where the product is at least this.
+        need = ((1 + (back**2).sum(1) - (radius + error) ** 2) / 2 - 1e-4).astype(np.float32)
+        reach = known.reach(uq, own[q], lists, shells, radius)
+        tables, centre = known.tables(uq), (known.coarse[lists] @ uq.T).astype(np.float32)
+        n_q, n_m = np.zeros(len(q), np.int64), np.zeros(len(m), np.int64)
+        ends = [(none["a"].to_numpy(), none["b"].to_numpy())]
+        inside = group[own[q]] == int(t["at"][0].as_py())
+        starts = np.searchsorted(own[m], lists, "left").tolist() + [len(m)]
+        for k in range(len(lists)):
+            qs = np.nonzero(reach[:, k])[0]
+            if len(qs) == 0:
+                continue
+            some = tables if len(qs) == len(q) else [x[:, qs] for x in tables]
+            for lo in range(starts[k], starts[k + 1], STEP):
+                ms = np.arange(lo, min(lo + STEP, starts[k + 1]))
+                dot = np.repeat(centre[k][None, qs], len(ms), 0)
+                for i, x in enumerate(some):
+                    dot += x[codes[ms, i]]
+                mi, qi = np.nonzero(dot >= need[ms][:, None])
+                # Within a group both rows ask for each other: one of the two counts, and none for itself.
+                once = ~inside[qs[qi]] | (rep[q][qs[qi]] < rep[m][ms[mi]])
+                mi, qi = mi[once], qi[once]
+                if len(qi) == 0:
+                    continue
+                if len(qi) * 16 > dot.size:
+                    keep = (um[ms] @ uq[qs].T)[mi, qi] >= cosine
+                else:
+                    keep = np.concatenate([np.einsum("ij,ij->i", uq[qs[qi[s : s + 65536]]], um[ms[mi[s : s + 65536]]]) >= cosine for s in range(0, len(qi), 65536)])
+                mi, qi = ms[mi[keep]], qs[qi[keep]]
+                if len(qi):
+                    n_q += np.bincount(qi, w[m][mi], len(q)).astype(np.int64)
+                    n_m += np.bincount(mi, w[q][qi], len(m)).astype(np.int64)
+                    ends.append(_forest(rep[q][qi], rep[m][mi]))
+        a, b = _forest(*(np.concatenate(e) for e in zip(*ends, strict=True)))
+        ids, n = np.concatenate([rep[q], rep[m]]), np.concatenate([n_q, n_m])
         ids, n = ids[n > 0], n[n > 0]
-        return pa.table(
-            {
-                "kind": pa.array([0] * len(ids) + [1] * len(edges), pa.int32()),
-                "a": pa.array([*ids.tolist(), *(e[0] for e in edges)], pa.int64()),
-                "b": pa.array([*n.tolist(), *(e[1] for e in edges)], pa.int64()),
-            }
-        )
+        kind = np.repeat(np.array([0, 1], np.int32), [len(ids), len(a)])
+        return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([ids, a]), pa.int64()), "b": pa.array(np.concatenate([n, b]), pa.int64())})
 
     found = scratch.save(both.groupBy("at", "i", "j").applyInArrow(pairs, "kind int, a long, b long"))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n"))

@@ -392,6 +392,21 @@ def test_embedding_dedup(spark, n):
 
 # ---- the pipeline
 
+def test_embedding_dedup_finds_all_links_of_a_dense_group(spark):
+    r = np.random.default_rng(11)
+    n, dim = 20_000, 64
+    x = r.normal(size=(n, dim))
+    hot = r.choice(n, n // 3, replace=False)
+    one = r.normal(size=dim)
+    x[hot] = one / np.linalg.norm(one) + r.normal(size=(len(hot), dim)) * r.uniform(0.02, 0.045, size=(len(hot), 1))
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {y.vec_id: y for y in embedding_dedup.op10(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = np.concatenate([((u[i : i + 2000] @ u.T) >= 0.9).sum(1) - 1 for i in range(0, n, 2000)])
+    assert want[hot].mean() > 1000 and [got[i].n_links for i in range(n)] == want.tolist()
+    assert {got[i].component_id for i in hot[want[hot] > 0]} == {min(hot[want[hot] > 0])}
+
+
 
 def test_pipeline(spark):
     import corpus_pipeline as p
