@@ -19,6 +19,8 @@ from ..ship import ship
 
 #: Bounds of the fit: texts and bytes for each language.
 TEXTS, DICTIONARY_BYTES = 64, 65_536
+#: Characters of the texts that the fit prefers.
+USUAL = (200, 20_000)
 #: Texts are compressed in pieces of this many bytes, so that the dictionary counts alike in long and short texts.
 PIECE = 2048
 #: Relative margins below this are rejected.
@@ -34,14 +36,18 @@ def normal(text: str) -> bytes:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionaries by language from labelled rows: the ``TEXTS`` rows of least hash in each language, up to
-    ``DICTIONARY_BYTES`` in all, normalised. Rows with a null text or language are not used; the result is bounded
-    by the number of languages."""
-    rank = Window.partitionBy("lang").orderBy("h", "id")
+    ``DICTIONARY_BYTES`` in all, normalised. Texts whose length is in ``USUAL`` come first, then all others,
+    so every language has a dictionary. Rows with a null text or language, or without a letter, are not used; the
+    result is bounded by the number of languages."""
+    rank = Window.partitionBy("lang").orderBy("odd", "h", "id")
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     base = base.where("lang is not null and text is not null and id is not null")
     # Ids are ranked without their texts; Spark keeps only the first rows of each task before the exchange.
-    chosen = base.where(F.length("text").between(200, 20_000)).select("id", "lang", F.xxhash64("id").alias("h")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= TEXTS)
-    rows = base.join(F.broadcast(chosen.select("id", "r")), "id").select("lang", "r", "text").collect()  # TEXTS a language at most
+    chosen = base.where(F.col("text").rlike(r"\p{L}")).select("id", "lang", (~F.length("text").between(*USUAL)).alias("odd"), F.xxhash64("id").alias("h")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= TEXTS)
+    # Of a long text the driver needs as much as fills a dictionary, once what is no letter is taken together.
+    start = F.left(F.regexp_replace("text", r"[\p{Z}\p{C}\p{P}\p{S}\p{Nd}]+", " "), F.lit(DICTIONARY_BYTES))
+    text = F.when(F.length("text") > USUAL[1], start).otherwise(F.col("text")).alias("text")
+    rows = base.join(F.broadcast(chosen.select("id", "r")), "id").select("lang", "r", text).collect()  # TEXTS a language at most
     out: dict[str, bytes] = {}
     for lang in sorted({r.lang for r in rows}):
         each = [normal(r.text) for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.r)]

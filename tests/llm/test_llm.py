@@ -364,6 +364,19 @@ def test_language_id_edges(spark):
     assert language_id.fit(docs(spark, []).limit(0).withColumn("lang", F.lit("x"))) == {}
 
 
+def test_language_id_learns_from_texts_of_any_length(spark):
+    words = {"aa": ["kuli", "moran", "teva", "sil"], "bb": ["zrocht", "wengh", "drylf", "quamp"], "cc": ["ouia", "eauie", "aioue", "ieuo"]}
+    size = {"aa": 60, "bb": 12, "cc": 6000}  # about 300, 70 and 30,000 characters
+    r = random.Random(9)
+    text = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    rows = [(i, text(lang, size[lang]), lang) for i, lang in enumerate([*["aa"] * 20, *["bb"] * 20, *["cc"] * 3])]
+    rows += [(100, " \n", "dd"), (101, "123 456", "ee"), (102, None, "ff")]
+    known = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert known.keys() == words.keys() and all(known.values())
+    asked = spark.createDataFrame([(k, text(lang, 20), lang) for k, lang in enumerate(words)], "doc_id long, text string, lang string")
+    assert all(x.lang == x.lang_pred for x in language_id.identify(asked, known).collect())
+
+
 # ---- 10
 
 
