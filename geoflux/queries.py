@@ -342,3 +342,12 @@ def embedding_knn(spark, d):
     far = F.aggregate(F.zip_with("e", "qe", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     rank = F.row_number().over(Window.partitionBy("q").orderBy("far", "vec_id"))
     return e.join(q).withColumn("far", far).withColumn("r", rank).where("r <= 5").select("q", F.col("vec_id").alias("v"))
+
+
+@query("SELECT a.vec_id AS q, b.vec_id AS v FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) <= 5")
+def embedding_knn_fiftieth(spark, d):
+    """The stated query set of searches: every row whose id is divisible by 50, against all rows."""
+    from .operators.vector_knn import vector_knn
+
+    e = table(spark, d, "embeddings")
+    return vector_knn(e.where("vec_id % 50 = 0"), e, 5)

@@ -93,3 +93,28 @@ def test_empty_sides(sides):
     assert knn_join(a, b.limit(0), 2, "ga", "gb").count() == 0
     with pytest.raises(ValueError):
         spatial_join(a, b, "disjoint", "ga", "gb")
+
+
+def test_embedding_knn_asks_for_every_fiftieth_row(spark, monkeypatch):
+    import duckdb
+
+    from geoflux import queries
+    from geoflux.operators import vector_knn
+
+    monkeypatch.setattr(vector_knn, "QUERIES", 7)
+    monkeypatch.setattr(vector_knn, "CANDIDATES", 300)
+    d = "/root/testdata/sf0.1"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet'")
+    want = sorted(db.execute(queries.ORACLES["embedding_knn_fiftieth"]).fetchall())
+    got = sorted((r.q, r.v) for r in queries.QUERIES["embedding_knn_fiftieth"](spark, d).collect())
+    assert got == want and {q for q, _ in got} == {r.vec_id for r in spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+
+
+def test_vector_knn_ties_and_nulls(spark):
+    from geoflux.operators.vector_knn import vector_knn
+
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.q, r.v) for r in vector_knn(v.where("vec_id in (2, 3)"), v, 3).collect())
+    assert got == [(2, 1), (2, 2), (2, 4), (3, 1), (3, 2), (3, 3)]
+    assert vector_knn(v.limit(0), v, 3).count() == 0 and vector_knn(v, v.limit(0), 3).count() == 0
