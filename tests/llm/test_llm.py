@@ -66,11 +66,24 @@ def test_bpe_matches_the_library():
     texts += ["".join(r.choice("abc") for _ in range(2000)), "".join(r.choice("etaoin") for _ in range(3000)), "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(800))]
     texts += ["".join(r.choice(["the", " ", "\n", "é", "1", "23", "'s", "!", "  ", "\t", "ß", "日本"]) for _ in range(60)) for _ in range(300)]
     texts += [chr(i) + "a " + chr(i) * 2 + " b" for i in [*range(1, 1500), *range(8190, 8250), *range(12280, 12300)]]
+    signs = [" ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "a", "B", "é", "ß", "日", "1", "²", ",", "'", "'s", "—", "_", "\0", "\U0001f600", "e\u0301"]
+    texts += ["".join(r.choice(signs) for _ in range(r.randrange(1, 40))) for _ in range(6000)]
     packed = c.encode(texts)
     assert [np.frombuffer(p, "<i4").tolist() for p in packed] == [own.encode_ordinary(t) for t in texts]
     assert c.decode(packed) == [t.encode() for t in texts]
 
 
+def test_bpe_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 300)
+    c = bpe.Codec(bpe.VOCABULARY, __import__("public_tokenizers").PATTERN)
+    own = tiktoken_of(c)
+    r = random.Random(6)
+    texts = [" ".join(r.choice("kuli moran teva sil,ouia quamp").strip() + str(r.randrange(90)) for _ in range(40)) for _ in range(50)]
+    assert [np.frombuffer(p, "<i4").tolist() for p in c.encode(texts)] == [own.encode_ordinary(t) for t in texts]
+    assert len(c.young) <= 50 and len(c.old) <= 50
+
+
 def test_bpe_frames(spark):
     d = docs(spark, EDGES)
     own = tiktoken_of(bpe.codec(bpe.VOCABULARY))
