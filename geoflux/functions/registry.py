@@ -43,7 +43,10 @@ G st_tessellategeog 2 2, st_tessellategeom 2 2, st_togeography 1 1, st_togeometr
 L s2_cellidfrompoint 1 1, sd_order 1 1
 S sd_format 1 2
 G sd_simplifystorage 1 1, geoflux_fromgeojson 1 1
-cells s2_coveringcellids 1 4, geoflux_cells 2 3
+cells s2_coveringcellids 1 4, geoflux_cells 2 3, geoflux_keys 4 4
+L geoflux_anchor 3 3
+I geoflux_level 2 2, geoflux_floor 1 1
+D geoflux_radius 3 3
 bounds geoflux_bounds 1 1
 R rs_example 0 0, rs_make 9 10, rs_setbandnodatavalue 2 3, rs_setcrs 2 2, rs_setsrid 2 2, rs_setgeoreference 2 3, rs_asraster 3 7, rs_clip 3 7, rs_resample 4 7
 R rs_reprojectmatch 2 3, rs_slice 3 3, rs_slicerange 4 4, rs_bandtodim 2 2, rs_dimtoband 2 2, rs_fromgdalraster 1 1, rs_frompath 1 1, rs_ensureloaded 1 1
@@ -152,5 +155,6 @@ def register(spark: SparkSession) -> SparkSession:
             jvm.static(spark, "geoflux.Udf", "unwrap", ["org.apache.spark.sql.catalyst.analysis.FunctionRegistry", "java.lang.String"], [functions, name])
     for name, (more, ddl, body) in EXPRESSIONS.items():
         spark.sql(f"create or replace temporary function {name}(r {RASTER_TYPE}{', ' + more if more else ''}) returns {ddl} return {body}")
+    jvm.static(spark, "geoflux.Plan", "install", ["org.apache.spark.sql.classic.SparkSession"], [jsession])
     _known.add(key)
     return spark

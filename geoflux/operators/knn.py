@@ -1,28 +1,22 @@
 """k nearest neighbours of each query row, exactly, without comparing all with all.
 
-Objects lie in square cells. A query looks at the three by three cells about
-its own: every object nearer than one cell side is among them, so once k
-objects are found within that distance they are the nearest. Queries for which
-that does not hold look again in cells twice as wide on each turn, until one block
-holds all objects. A turn is one equi-join and one ranking.
+A bounded sample of the objects gives each query a radius within which k
+objects lie for certain: the distance of the k-th nearest of the sample. What
+lies within it is found by the distance join, whose condition the planner turns
+into an equi-join on cells, and ranked. All is one plan: nothing is looked at
+twice, so no ids have to be kept.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import call
-from ..plans.grid import bounds, small_enough
-from ..plans.stable import stable
-
+from ..functions import call, register
 
-#: Objects up to this number are broadcast whole.
-FEW = 500
-EARTH = 6371010.0
+#: Objects from which the radius is taken.
+SAMPLE = 16_384
 
 
 def _column(c: str | Column) -> Column:
@@ -35,74 +29,23 @@ def knn_join(query: DataFrame, objects: DataFrame, k: int = 1, query_geom: str |
 
     Fewer objects than ``k``: all of them. ``ties`` includes objects as far as
     the k-th; otherwise ``tie_break``, a column of the objects, orders equal
-    distances (without it their order is that of the object rows). Null and
-    empty geometries take no part. With ``use_spheroid`` points are longitudes
-    and latitudes and distances are great-circle metres.
+    distances. Null and empty geometries take no part. With ``use_spheroid``
+    coordinates are longitudes and latitudes and distances are great-circle
+    metres.
     """
-    if k < 1:
-        k = 0
+    register(query.sparkSession)
     conv = (lambda c: call("st_togeography", c)) if use_spheroid else (lambda c: c)
-    q = query.select(F.struct(*[F.col(f"`{c}`") for c in query.columns]).alias("q_row"), conv(_column(query_geom)).alias("q_geom"), bounds(_column(query_geom)).alias("q_box"), F.monotonically_increasing_id().alias("q_id"))
-    o = objects.select(F.struct(*[F.col(f"`{c}`") for c in objects.columns]).alias("o_row"), conv(_column(object_geom)).alias("o_geom"), bounds(_column(object_geom)).alias("o_box"), F.monotonically_increasing_id().alias("o_id"))
-    q, o = stable(q.where("q_box is not null")), stable(o.where("o_box is not null"))
-    order = [F.col("d"), F.col(f"o_row.`{tie_break}`") if tie_break else F.col("o_id"), F.col("o_id")]
-    near = Window.partitionBy("q_id").orderBy(*order)
-    rank = (F.rank() if ties else F.row_number()).over(Window.partitionBy("q_id").orderBy("d") if ties else near)
-
-    def best(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("d", call("st_distance", "q_geom", "o_geom")).where("d is not null").withColumn("rk", rank).where(F.col("rk") <= k)
-
+    taken = lambda g: F.col(g).isNotNull() & ~call("st_isempty", F.col(g))
+    q = query.select(F.struct(*[F.col(f"`{c}`") for c in query.columns]).alias("q_row"), conv(_column(query_geom)).alias("q_geom")).where(taken("q_geom"))
+    o = objects.select(F.struct(*[F.col(f"`{c}`") for c in objects.columns]).alias("o_row"), conv(_column(object_geom)).alias("o_geom")).where(taken("o_geom"))
+    some = o.select("o_geom").orderBy(F.xxhash64("o_geom")).limit(max(SAMPLE, 4 * k)).agg(call("st_collect_agg", F.col("o_geom")).alias("g")).scalar()
+    q = q.withColumns({"r": call("geoflux_radius", F.col("q_geom"), some, F.lit(k)), "q_id": F.monotonically_increasing_id()})
+    near = q.join(o, call("st_distance", F.col("q_geom"), F.col("o_geom")) <= F.col("r")).withColumn("d", call("st_distance", F.col("q_geom"), F.col("o_geom")))
+    order = Window.partitionBy("q_id").orderBy("d", *([f"o_row.`{tie_break}`"] if tie_break and not ties else []))
+    best = near.withColumn("rk", (F.rank() if ties else F.row_number()).over(order)).where(F.col("rk") <= k)
     names = {c.lower() for c in query.columns}
-
-    def shaped(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            *[F.col(f"q_row.`{c}`").alias(c) for c in query.columns],
-            *[F.col(f"o_row.`{c}`").alias(c if c.lower() not in names else c + suffix) for c in objects.columns],
-            F.col("d").alias(distance_col),
-        )
-
-    nothing = q.limit(0).withColumns({"o_row": F.lit(None).cast(o.schema["o_row"].dataType), "d": F.lit(0.0)})
-    if k == 0:
-        return shaped(nothing)
-    if use_spheroid:
-        # Points go to cells of space: the straight distance between two places is never above the one along the sphere.
-        q, o = (_in_space(df, p) for df, p in ((q, "q"), (o, "o")))
-    axes = ("x", "y", "z") if use_spheroid else ("x", "y")
-    found = o.agg(F.count("*"), F.avg(F.greatest(*[F.expr(f"o_box.{a}max - o_box.{a}min") for a in axes])), *[f(f"o_box.{a}{m}") for a in axes for f, m in ((F.min, "min"), (F.max, "max"))]).head()
-    n, mean, ends = found[0], found[1], found[2:]
-    if n == 0:
-        return shaped(nothing)
-    if n <= FEW:
-        return shaped(best(q.crossJoin(F.broadcast(o))))  # FEW rows at most
-    spans = [hi - lo for lo, hi in zip(ends[::2], ends[1::2], strict=True)]
-    extent = max(*spans, 1e-9)
-    volume = math.prod(max(v, extent * 1e-6) for v in spans)
-    side = max((volume * k / n) ** (1 / len(axes)), (mean or 0) * 2, extent / 2**20)
-    done, rest = None, q
-    while side < 4 * extent:
-        obj, qry = o, rest
-        for a in axes:
-            cell = lambda c: F.floor(F.col(c) / side)  # noqa: B023, E731
-            obj = obj.withColumn(f"cell_{a}", F.explode(F.sequence(cell(f"o_box.{a}min"), cell(f"o_box.{a}max"))))
-            qry = qry.withColumn(f"cell_{a}", F.explode(F.sequence(cell(f"q_box.{a}min") - 1, cell(f"q_box.{a}max") + 1)))
-        got = best(qry.join(obj, [f"cell_{a}" for a in axes]).dropDuplicates(["q_id", "o_id"]))
-        # The k-th must lie within one side, else something nearer may lie outside the block.
-        sure = got.groupBy("q_id").agg(F.max("d").alias("far"), F.count("*").alias("have")).where((F.col("far") < side) & (F.col("have") >= k)).select("q_id")
-        sure = stable(sure)
-        part = got.join(sure, "q_id", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        rest = rest.join(sure, "q_id", "left_anti")
-        if rest.limit(1).count() == 0:
-            return shaped(done)
-        side *= 4
-    # What is left is as far from the objects as they are from each other, or asks for more than there are.
-    last = best(rest.crossJoin(F.broadcast(o)) if small_enough(o, 8 << 20) else rest.crossJoin(o))
-    return shaped(last if done is None else done.unionByName(last))
-
-
-def _in_space(df: DataFrame, p: str) -> DataFrame:
-    """The box of a point of the sphere as a place in space, in metres."""
-    lon, lat = F.radians(F.col(f"{p}_box.xmin")), F.radians(F.col(f"{p}_box.ymin"))
-    at = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
-    point = F.when((F.col(f"{p}_box.xmin") == F.col(f"{p}_box.xmax")) & (F.col(f"{p}_box.ymin") == F.col(f"{p}_box.ymax")), F.lit(EARTH)).otherwise(F.raise_error(F.lit("nearest neighbours on the sphere are between points")).cast("double"))
-    return df.withColumn(f"{p}_box", F.struct(*[(v * point).alias(f"{a}{m}") for a, v in at.items() for m in ("min", "max")]))
+    return best.select(
+        *[F.col(f"q_row.`{c}`").alias(c) for c in query.columns],
+        *[F.col(f"o_row.`{c}`").alias(c if c.lower() not in names else c + suffix) for c in objects.columns],
+        F.col("d").alias(distance_col),
+    )

@@ -139,6 +139,46 @@ _how("right_semi", f"SELECT n_nationkey FROM {_Z12} z WHERE EXISTS (SELECT 1 FRO
 _how("right_anti", f"SELECT n_nationkey FROM {_Z12} z WHERE NOT EXISTS (SELECT 1 FROM ({POINTS}) p WHERE {INSIDE})", ["n_nationkey"])
 _how("left_mark", f"SELECT id, EXISTS (SELECT 1 FROM {_Z12} z WHERE {INSIDE}) AS mark FROM ({POINTS}) p", ["id", "mark"])
 
+
+# ---- the same joins as SQL, which the planner turns into joins on keys
+
+
+def in_sql(name: str, text: str, oracle: str) -> None:
+    def run(spark, d):
+        from .session import connect
+
+        for view, make in (("points", points), ("zones", zones), ("suppliers", suppliers)):
+            make(spark, d).createOrReplaceTempView(f"geoflux_{view}")
+        return connect(spark).sql(text).df
+
+    run.__name__ = name
+    query(oracle)(run)
+
+
+in_sql("sql_intersects_join", "SELECT id, n_nationkey FROM geoflux_points p JOIN geoflux_zones z ON ST_Intersects(p.geometry, z.geometry)",
+    f"SELECT id, n_nationkey FROM ({POINTS}) p JOIN ({ZONES}) z ON x >= x0 AND x <= x1 AND y >= y0 AND y <= y1")
+in_sql("sql_left_join", "SELECT id, n_name FROM geoflux_points p LEFT JOIN geoflux_zones z ON ST_Within(p.geometry, z.geometry) AND z.n_nationkey <> p.c_nationkey",
+    f"SELECT id, n_name FROM ({POINTS}) p LEFT JOIN ({ZONES}) z ON {INSIDE} AND n_nationkey <> c_nationkey")
+in_sql("sql_anti_join", "SELECT id FROM geoflux_points p WHERE NOT EXISTS (SELECT 1 FROM geoflux_zones z WHERE ST_Contains(z.geometry, p.geometry))",
+    f"SELECT id FROM ({POINTS}) p WHERE NOT EXISTS (SELECT 1 FROM ({ZONES}) z WHERE {INSIDE})")
+in_sql("sql_touches_join", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM geoflux_zones a JOIN geoflux_zones b ON ST_Touches(a.geometry, b.geometry)",
+    f"SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM ({ZONES}) a JOIN ({ZONES}) b ON a.n_nationkey <> b.n_nationkey AND abs(a.x0 - b.x0) <= 2000 AND abs(a.y0 - b.y0) <= 200")
+in_sql("sql_dwithin_join", "SELECT id, sid FROM geoflux_points p JOIN geoflux_suppliers s ON ST_DWithin(p.geometry, s.geometry, 50)",
+    f"SELECT id, sid FROM ({POINTS}) p JOIN ({SUPPLIERS}) s ON (x - sx) * (x - sx) + (y - sy) * (y - sy) <= 2500")
+in_sql("sql_distance_join", "SELECT id, sid FROM geoflux_points p, geoflux_suppliers s WHERE ST_Distance(p.geometry, s.geometry) < p.c_nationkey * 4.0",
+    f"SELECT id, sid FROM ({POINTS}) p JOIN ({SUPPLIERS}) s ON sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) < c_nationkey * 4.0")
+in_sql("sql_knn_join", "SELECT id, sid FROM geoflux_points p JOIN geoflux_suppliers s ON ST_KNN(p.geometry, s.geometry, 3, false)",
+    f"SELECT id, sid FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, sid) AS r FROM ({_NEAR})) WHERE r <= 3")
+in_sql("sql_knn_join_filtered", "SELECT id, sid FROM geoflux_points p JOIN geoflux_suppliers s ON ST_KNN(p.geometry, s.geometry, 4, false) AND s.sx > 1000 AND p.x < 5000",
+    f"SELECT id, sid FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, sid) AS r FROM (SELECT id, x, sid, sx, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS dist FROM ({POINTS}) p, ({SUPPLIERS}) s)) WHERE r <= 4 AND sx > 1000 AND x < 5000")
+
+
+@query(f"SELECT id, sid FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY dist) AS r FROM ({_NEAR})) WHERE r <= 2")
+def knn_join_ties(spark, d):
+    out = knn_join(points(spark, d).select("id", "geometry"), suppliers(spark, d).select("sid", "geometry"), 2, ties=True)
+    return out.select("id", "sid")
+
+
 # ---- functions on points and boxes, as expressions: name, frame, Spark columns, SQL
 
 _FRAMES = {"p": (points, POINTS), "z": (zones, ZONES), "s": (suppliers, SUPPLIERS)}

@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from . import functions as st
+from . import jvm
 from .frame import Frame
 from .ship import ship
 
@@ -25,7 +26,8 @@ class Context:
         self._udfs: dict[str, Any] = {}
 
     def sql(self, query: str, params: list | dict | tuple | None = None) -> Frame:
-        """SQL with ``?`` / ``:name`` parameters; ``$1`` and ``$name`` are understood as well."""
+        """SQL with ``?`` / ``:name`` parameters; ``$1`` and ``$name`` are understood as well. What else stands beside ST_KNN holds of
+        the neighbours that it finds."""
         if params:
             import re
 
@@ -35,7 +37,10 @@ class Context:
                 order = [int(m) for m in re.findall(r"\$(\d+)", query)]
                 if order:
                     query, params = re.sub(r"\$\d+", "?", query), [params[i - 1] for i in order]
-        return Frame(self, self.spark.sql(query, args=params or None))
+        df = self.spark.sql(query, args=params or None)
+        if "st_knn" in query.lower():
+            df = DataFrame(jvm.static(self.spark, "geoflux.Plan", "rewritten", ["org.apache.spark.sql.classic.Dataset"], [df._jdf]), self.spark)
+        return Frame(self, df)
 
     def frame(self, df: DataFrame) -> Frame:
         return Frame(self, df)

@@ -10,8 +10,8 @@ from geoflux.sources.random_geometry import random_geometry
 @pytest.fixture(scope="module")
 def sides(spark):
     st.register(spark)
-    a = random_geometry(spark, geom_type="Point", num_rows=300, num_partitions=3, null_rate=0.05, empty_rate=0.05, seed=42).selectExpr("id AS a", "geometry AS ga").localCheckpoint()
-    b = random_geometry(spark, geom_type="Polygon", num_rows=120, num_partitions=2, num_vertices=[3, 8], hole_rate=0.5, null_rate=0.05, empty_rate=0.05, size=[1, 30], seed=43).selectExpr("id AS b", "geometry AS gb").localCheckpoint()
+    a = random_geometry(spark, geom_type="Point", num_rows=300, num_partitions=3, null_rate=0.05, empty_rate=0.05, seed=42).selectExpr("id AS a", "geometry AS ga").cache()
+    b = random_geometry(spark, geom_type="Polygon", num_rows=120, num_partitions=2, num_vertices=[3, 8], hole_rate=0.5, null_rate=0.05, empty_rate=0.05, size=[1, 30], seed=43).selectExpr("id AS b", "geometry AS gb").cache()
     return a, b
 
 
@@ -19,6 +19,17 @@ def pairs(df):
     return sorted((r.a, r.b) for r in df.select("a", "b").collect())
 
 
+def brute(df):
+    """The pairs without the planner's keys: all rows are held against all."""
+    conf = df.sparkSession.conf
+    conf.set("geoflux.join.keys", "false")
+    try:
+        assert "NestedLoop" in df._jdf.queryExecution().optimizedPlan().toString() or "geoflux_key" not in df._jdf.queryExecution().optimizedPlan().toString()
+        return pairs(df)
+    finally:
+        conf.unset("geoflux.join.keys")
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 25])
 @pytest.mark.parametrize("predicate", ["intersects", "within", "coveredby"])
 def test_relation_join(sides, predicate, limit):
@@ -74,7 +85,7 @@ def test_knn_join_in_cells(spark, monkeypatch):
     st.register(spark)
     q = spark.range(150).selectExpr("id AS a", "st_point((id * 7919) % 1000, (id * 104729) % 997) AS ga")
     o = spark.range(2500).selectExpr("id AS b", "st_point((id * 31) % 500, (id * id) % 991) AS gb")
-    monkeypatch.setattr(knn, "small_enough", lambda *_: False)
+    monkeypatch.setattr(knn, "SAMPLE", 40)
     want = q.crossJoin(o).withColumn("d", st.st_distance("ga", "gb")).selectExpr("a", "b", "row_number() OVER (PARTITION BY a ORDER BY d, b) AS r").where("r <= 4")
     assert pairs(knn_join(q, o, 4, "ga", "gb", tie_break="b")) == pairs(want)
 
@@ -118,3 +129,71 @@ def test_vector_knn_ties_and_nulls(spark):
     got = sorted((r.q, r.v) for r in vector_knn(v.where("vec_id in (2, 3)"), v, 3).collect())
     assert got == [(2, 1), (2, 2), (2, 4), (3, 1), (3, 2), (3, 3)]
     assert vector_knn(v.limit(0), v, 3).count() == 0 and vector_knn(v, v.limit(0), 3).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def keyed(df):
+    return "geoflux_key" in plan(df) and "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
+
+
+@pytest.mark.parametrize("predicate", ["intersects", "contains", "within", "covers", "coveredby", "touches", "crosses", "overlaps", "equals"])
+def test_sql_relation_join(spark, sides, predicate):
+    _, b = sides
+    b.createOrReplaceTempView("b")
+    b.selectExpr("b AS a", "st_translate(gb, if(b % 3 = 0, 0, 2), 1) AS ga").union(b.selectExpr("b + 1000 AS a", "gb AS ga")).createOrReplaceTempView("a")
+    text = f"SELECT a, b FROM a JOIN b ON st_{predicate}(ga, gb)"
+    assert keyed(spark.sql(text)) and pairs(spark.sql(text)) == brute(spark.sql(text))
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT a, b FROM a LEFT JOIN b ON st_within(ga, gb) AND a > 20", "SELECT a, b FROM a RIGHT JOIN b ON st_within(ga, gb) AND b > 20", "SELECT a, 0 AS b FROM a WHERE EXISTS (SELECT 1 FROM b WHERE st_contains(gb, ga))",
+    "SELECT a, 0 AS b FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE st_contains(gb, ga))", "SELECT a, EXISTS (SELECT 1 FROM b WHERE st_contains(gb, ga)) AS b FROM a", "SELECT a, b FROM a JOIN b ON st_dwithin(ga, gb, 5)",
+    "SELECT a, b FROM a JOIN b ON st_dwithin(gb, ga, a % 7)", "SELECT a, b FROM a, b WHERE st_distance(ga, gb) < b % 5", "SELECT a, b FROM a, b WHERE 4 >= st_distance(ga, gb) AND a <> b", "SELECT a, b FROM a LEFT JOIN b ON st_dwithin(ga, gb, -1)",
+])
+def test_sql_kinds_of_join(spark, sides, text):
+    for df, name in zip(sides, "ab", strict=True):
+        df.createOrReplaceTempView(name)
+    rows = lambda: sorted(((r.a, r.b) for r in spark.sql(text).collect()), key=str)
+    got = rows()
+    assert got and keyed(spark.sql(text)) or "-1" in text
+    spark.conf.set("geoflux.join.keys", "false")
+    try:
+        assert got == rows()
+    finally:
+        spark.conf.unset("geoflux.join.keys")
+
+
+@pytest.mark.parametrize("how", ["ST_Intersects(ga, gb)", "ST_DWithin(ga, gb, 700000)", "ST_Distance(gb, ga) <= 2e6"])
+def test_sql_join_on_the_sphere(spark, how):
+    st.register(spark)
+    spark.range(300).selectExpr("id AS a", "st_geogpoint((id * 7919) % 360 - 180, (id * 104729) % 179 - 89) AS ga").createOrReplaceTempView("a")
+    spark.range(150).selectExpr("id AS b", "(id * 131) % 360 - 180D AS x", "(id * id) % 171 - 85D AS y").selectExpr(
+        "b", "st_togeography(st_geomfromtext(concat('LINESTRING(', x, ' ', y, ',', if(x > 160, x - 340, x + 20), ' ', y + 3, ')'))) AS gl", "st_geogpoint(x, y) AS gp", "st_geogpoint((b * 7919) % 360 - 180, (b * 104729) % 179 - 89) AS same",
+    ).selectExpr("b", "explode(array(gl, gp, same)) AS gb").createOrReplaceTempView("b")
+    df = spark.sql(f"SELECT a, b FROM a JOIN b ON {how}")
+    assert keyed(df) and pairs(df) == brute(spark.sql(f"SELECT a, b FROM a JOIN b ON {how}")) != []
+
+
+def test_sql_knn_join(spark, sides):
+    from geoflux.session import connect
+
+    ctx = connect(spark)
+    for df, name in zip(sides, "ab", strict=True):
+        df.createOrReplaceTempView(name)
+    near = sides[0].crossJoin(sides[1]).selectExpr("a", "b", "st_distance(ga, gb) AS d").where("d is not null").selectExpr("a", "b", "d", "rank() OVER (PARTITION BY a ORDER BY d) AS r").collect()
+    for k, rest in ((1, ""), (5, ""), (500, ""), (5, " AND b % 2 = 0 AND a < 100")):
+        df = ctx.sql(f"SELECT a, b, st_distance(ga, gb) AS d FROM a JOIN b ON ST_KNN(ga, gb, {k}, false){rest}").df
+        assert keyed(df)
+        # Which of equally far objects is taken is open, so distances are compared.
+        want = sorted((x.a, x.d) for x in near if x.r <= k)
+        got = sorted((x.a, x.d) for x in df.collect())
+        if not rest:
+            counts = {a: sum(x.a == a for x in near) for a in {x.a for x in near}}
+            want = sorted(y for a in counts for y in sorted((x.a, x.d) for x in near if x.a == a)[:k])
+            assert got == want
+        else:
+            assert set(got) <= set(want) and {(x.a, x.b) for x in df.collect()} <= {(x.a, x.b) for x in near if x.r <= k and x.b % 2 == 0 and x.a < 100}
+    assert ctx.sql("SELECT a, b FROM a, b WHERE ST_KNN(ga, gb, 0)").df.count() == 0
