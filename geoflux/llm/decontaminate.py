@@ -5,7 +5,8 @@ k+1 pieces; one of them at least must then stand in the copy unchanged. All
 pieces of all items are searched for at once by an automaton; each hit opens
 a window that Myers' bit-parallel algorithm searches for the whole item within
 k edits. Texts and items are compared with letters lower-cased and white
-space collapsed.
+space collapsed. An item so short that no edit is allowed must stand alone:
+between places that are not inside a word.
 """
 
 from __future__ import annotations
@@ -17,13 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import without
+from .common import Scratch, without
 
 #: Edits for each character of an item.
 ERROR_RATE = 0.08
-#: Items shorter than this, normalised, say too little and are left out.
-MIN_CHARS = 40
-#: Bytes of items that the driver collects and broadcasts at most; a larger benchmark is matched in parts.
+#: Bytes of items that the driver collects and broadcasts at most; a larger benchmark is matched in parts, one automaton at a time.
 ITEM_BYTES = 16_000_000
 
 
@@ -68,7 +67,7 @@ class Matcher:
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             s = normal(text)
-            if len(s) < MIN_CHARS:
+            if not s:
                 continue
             k = int(len(s) * rate)
             cuts = [len(s) * i // (k + 1) for i in range(k + 2)]
@@ -87,28 +86,39 @@ class Matcher:
             return []
         s = normal(text)
         windows: dict[int, list[tuple[int, int]]] = {}
+        alone: set[int] = set()
         for end, (length, where) in self.automaton.iter(s):
+            first = end - length + 1
+            # A hit between letters or digits is the inside of a word.
+            inside = first > 0 and s[first - 1].isalnum() and s[first].isalnum() or end + 1 < len(s) and s[end].isalnum() and s[end + 1].isalnum()
             for no, offset in where:
                 # A copy with this piece begins within k of the place that the piece implies, and ends within k of its end.
-                _, item, k = self.items[no]
-                start = end - length + 1 - offset
+                item_id, item, k = self.items[no]
+                if k == 0:
+                    if not inside:
+                        alone.add(item_id)
+                    continue
+                start = first - offset
                 low, high = max(0, start - k), start + len(item) + k
                 spans = windows.setdefault(no, [])
                 if spans and low <= spans[-1][1]:  # overlapping windows are searched as one, so the work is linear in the text
                     spans[-1] = (min(low, spans[-1][0]), max(high, spans[-1][1]))
                 else:
                     spans.append((low, high))
-        return sorted({self.items[no][0] for no, spans in windows.items() if any(myers(self.items[no][1], s[a:b], self.items[no][2]) for a, b in spans)})
+        return sorted(alone | {self.items[no][0] for no, spans in windows.items() if any(myers(self.items[no][1], s[a:b], self.items[no][2]) for a, b in spans)})
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` plus ``items`` array<long>: ids of the benchmark items that the text holds within
     ``rate`` edits a character, sorted; empty for clean, empty and null texts.
 
-    Items with a null id or text, or of fewer than ``MIN_CHARS`` normalised
-    characters, are left out; equal items are all named. Whole texts are
-    searched. The benchmark is collected in parts of ``ITEM_BYTES``. Columns
-    called ``items`` are replaced; repeated rows stay; empty tables are fine.
+    An item of n normalised characters may differ by floor(n * rate) edits;
+    where that is none it must stand alone, not inside a word. Items with a
+    null id or a null or blank text say nothing and are left out; equal items
+    are all named. Whole texts are searched. The benchmark is collected in
+    parts of ``ITEM_BYTES``; between parts the rows are written to the shared
+    folder, so a worker holds one automaton at a time. Columns called ``items``
+    are replaced; repeated rows stay; empty tables are fine.
     """
     spark = ship(docs.sparkSession)
     docs = without(docs, "items")
@@ -116,6 +126,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     b = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null and t is not null")
     total = b.agg(F.sum(F.octet_length("t"))).head()[0] or 0
     parts = -(-total // ITEM_BYTES) or 1
+    scratch = Scratch(spark)
     out = docs
     for part in range(parts):
         rows = (b if parts == 1 else b.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)).collect()  # about ITEM_BYTES
@@ -131,6 +142,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(got, pa.list_(pa.int64()))], names=[f.name for f in schema])
 
         out = out.mapInArrow(run, schema)
+        if part < parts - 1:
+            out = scratch.save(out)
     return out
 
 
