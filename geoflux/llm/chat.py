@@ -5,7 +5,7 @@ the tree becomes Python closures that yield the pieces of a formatted
 conversation. There is no access to attributes of Python objects, no calls
 and no assignment: only the fields of the message at hand, ``loop`` counters,
 strings, integers, comparisons, ``and``, ``or``, ``not``, ``+`` and the
-filters ``trim``, ``upper``, ``lower``, ``length`` and ``escape``.
+filters ``trim``, ``upper``, ``lower``, ``length``, ``escape`` and ``escape_line``.
 
     {% for message in messages %} ... {% endfor %}
     {% if e %} ... {% elif e %} ... {% else %} ... {% endif %}
@@ -29,7 +29,7 @@ from ..ship import ship
 TURN, END = "### ", "</turn>"
 TEMPLATE = (
     "{% for message in messages %}"
-    "### {{ message.role | escape }}\n"
+    "### {{ message.role | escape_line }}\n"
     "{% if message.role == 'assistant' %}{% generation %}{{ message.text | escape }}{% endgeneration %}{% else %}{{ message.text | escape }}{% endif %}"
     "</turn>\n"
     "{% endfor %}"
@@ -41,6 +41,11 @@ def escape(s: str) -> str:
     return s.replace("\\", "\\\\").replace("#", "\\#").replace("<", "\\<")
 
 
+def escape_line(s: str) -> str:
+    """As ``escape``, and a backslash before every line feed, so that the first bare one ends a line."""
+    return escape(s).replace("\n", "\\\n")
+
+
 def unescape(s: str) -> str:
     return re.sub(r"\\(.)", r"\1", s, flags=re.DOTALL)
 
@@ -49,7 +54,7 @@ class TemplateError(ValueError):
     pass
 
 
-FILTERS: dict[str, Callable] = {"trim": lambda s: s.strip(), "upper": lambda s: s.upper(), "lower": lambda s: s.lower(), "length": len, "escape": escape}
+FILTERS: dict[str, Callable] = {"trim": lambda s: s.strip(), "upper": lambda s: s.upper(), "lower": lambda s: s.lower(), "length": len, "escape": escape, "escape_line": escape_line}
 FIELDS = {"message": {"role", "text", "turn"}, "loop": {"index", "first"}}
 _TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[<>+|.()]))")
 _ESCAPES = {"n": "\n", "t": "\t"}
@@ -307,6 +312,19 @@ def compile_template(source: str) -> Callable[[Iterable[dict]], Iterator[Piece]]
     return lambda messages: run({"messages": messages})
 
 
+def _bare(s: str, mark: str) -> int:
+    """Where the mark first stands without an odd number of backslashes before it, or -1."""
+    at = s.find(mark)
+    while at >= 0:
+        k = at
+        while k and s[k - 1] == "\\":
+            k -= 1
+        if (at - k) % 2 == 0:
+            return at
+        at = s.find(mark, at + 1)
+    return -1
+
+
 class Reader:
     """Reads the default template's output back, piece by piece, in bounded memory: one turn at a time."""
 
@@ -326,7 +344,7 @@ class Reader:
 
     def _cut(self) -> None:
         # Escaped texts hold no bare '<', so a bare one starts the end mark.
-        while (at := self._bare(self.rest)) >= 0:
+        while (at := _bare(self.rest, "</turn>\n")) >= 0:
             turn, self.rest = self.rest[:at], self.rest[at + len(END) + 1 :]
             head, body = self._split(turn)
             self.n += 1
@@ -336,24 +354,12 @@ class Reader:
             self.loss_chars += len(loss)
             self.mask = ""
 
-    @staticmethod
-    def _bare(s: str) -> int:
-        at = s.find("</turn>\n")
-        while at >= 0:
-            k = at
-            while k and s[k - 1] == "\\":
-                k -= 1
-            if (at - k) % 2 == 0:
-                return at
-            at = s.find("</turn>\n", at + 1)
-        return -1
-
     @staticmethod
     def _split(turn: str) -> tuple[str, str]:
         if not turn.startswith(TURN):
             raise ValueError("a turn without its mark")
-        head, _, body = turn[len(TURN) :].partition("\n")
-        return head, body
+        at = _bare(turn, "\n")
+        return turn[len(TURN) : at], turn[at + 1 :]
 
 
 def _ordered(conversations: DataFrame) -> DataFrame:
@@ -471,7 +477,7 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
 ), s AS (
-  SELECT *, replace(replace(replace(role, '\', '\\'), '#', '\#'), '<', '\<') AS r, replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<') AS t FROM c
+  SELECT *, replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '<', '\<'), chr(10), '\' || chr(10)) AS r, replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<') AS t FROM c
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
