@@ -3,7 +3,9 @@
 Lines are exploded, normalised and hashed to 128 bits; the documents of each
 hash are counted with map-side combine (a line that a third of the corpus
 holds is one row per task); lines over the threshold go from every document
-but the one with the largest id; texts are reassembled by position.
+but the one with the largest id; texts are reassembled by position. Where the
+lines of a key meet its verdict, a key is cut by hashes of its documents into
+``SALTS`` parts, and the verdict goes to the parts that there are.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch, ascii_lower, without
 
+SALTS = 32
+
 
 def line_key(line: Column) -> Column:
     """The line stripped of ASCII white space, A-Z lower-cased."""
@@ -48,9 +52,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
     )
     each = Scratch(docs.sparkSession).save(each)  # both uses below read it, so texts are normalised once
     # A document's lines are in one task, so the first aggregation leaves one row a document and key before its exchange.
-    held = each.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-    over = held.where(F.col("n") >= min_docs).select("key", "keeper")
-    drops = each.join(over, "key").where("doc_id <> keeper").groupBy("doc_id", "h").agg(F.collect_set("pos").alias("drop"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    part = F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SALTS}) as int))")).alias("parts")
+    held = each.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"), part)
+    over = held.where(F.col("n") >= min_docs).select("key", "keeper", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> getbit(parts, i) = 1)")).alias("salt"))
+    drops = each.withColumn("salt", salt).join(over, ["key", "salt"]).where("doc_id <> keeper").groupBy("doc_id", "h").agg(F.collect_set("pos").alias("drop"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64(text).alias("h"))
     out = rows.join(drops, ["doc_id", "h"], "left")
     of_row = F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n", -1)
