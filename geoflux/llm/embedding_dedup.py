@@ -31,6 +31,8 @@ MAX_LISTS = 1024
 SUBSPACES, CODES = 8, 256
 #: Members and queries that meet in a task at once, and members that it looks up at a time.
 CHUNK, STEP = 8192, 512
+#: Parts into which the rows of equal vectors are cut.
+SALTS = 32
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
@@ -116,22 +118,35 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     """One row for each row of ``vectors``: (id, n_links long, component_id long, kept boolean).
 
     Pairs with cosine >= ``cosine`` link; both ends count a found link.
-    Vectors that are null, zero or of another length than most, or that hold
-    null or non-finite components, link with nothing; so do rows with a null
-    id. Ids are integers and unique; equal vectors of other ids link. Other
-    columns are not read. An empty table gives an empty table.
+    Vectors of different lengths do not link; each length has an index of its
+    own. Vectors that are null, zero or empty, or hold null or non-finite
+    components, link with nothing; so do rows with a null id. Ids are integers;
+    equal vectors of different ids link, repeated rows are one vector, and an
+    id with several vectors has the links of each on its row. Other columns are
+    not read. An empty table gives an empty table.
     """
     spark = ship(vectors.sparkSession)
     scratch = Scratch(spark)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     finite = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    sizes = rows.where(finite).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    alone = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if not sizes:
-        return alone
-    dim = sizes[0].d
-    good = rows.where(finite & (F.size("v") == dim) & F.col("id").isNotNull())
-    classes = scratch.save(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("w")))
+    usable = F.coalesce(finite, F.lit(False)) & F.col("id").isNotNull()
+    good = rows.where(usable)
+    out = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
+    sizes = sorted(r.d for r in good.select(F.size("v").alias("d")).distinct().collect())  # a row a length
+    for d in sizes:
+        out = out.union(_of_length(good if len(sizes) == 1 else good.where(F.size("v") == d), d, cosine, scratch))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def _of_length(good: DataFrame, dim: int, cosine: float, scratch: Scratch) -> DataFrame:
+    """(id, n, component) of vectors of one length."""
+    spark = good.sparkSession
+    once = good
+    if good.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        once = good.distinct()
+    # Rows of equal vectors meet their class in parts, by hashes of their ids.
+    parts = F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {SALTS}) as int))")).alias("parts")
+    classes = scratch.save(once.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("w"), parts))
     total = classes.count()
     sample = classes.select("v").orderBy(F.xxhash64("rep")).limit(SAMPLE).collect() if total > SAMPLE else classes.select("v").collect()  # at most SAMPLE rows
     x = _unit(np.array([r.v for r in sample]))
@@ -152,7 +167,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
                     names=["rep", "w", "u", "own", "codes", "error", "depth"],
                 )
 
-    placed = scratch.save(classes.mapInArrow(place, "rep long, w long, u binary, own int, codes binary, error double, depth double"))
+    placed = scratch.save(classes.select("v", "rep", "w").mapInArrow(place, "rep long, w long, u binary, own int, codes binary, error double, depth double"))
     filled = placed.groupBy("own").agg(F.count("*").alias("n"), F.min("depth").alias("lo"), F.max("depth").alias("hi")).collect()  # at most MAX_LISTS rows
     # Lists of near centres share a group, so a row goes to a group once for all lists that it probes there.
     n_groups = min(len(index.coarse), -(-total // CHUNK))
@@ -242,15 +257,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     found = scratch.save(both.groupBy("at", "i", "j").applyInArrow(pairs, "kind int, a long, b long"))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n"))
     label = components(found.where("kind = 1").select("a", "b"), scratch)
+    salts = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> getbit(parts, i) = 1)")).alias("salt")
     of_class = (
         classes.join(counts, "rep", "left")
         .join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("v", "rep", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+        .select("v", salts, (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n"), F.coalesce("component", "rep").alias("component"))
     )
-    out = rows.withColumn("good", F.coalesce(finite, F.lit(False)) & F.col("id").isNotNull()).withColumn("key", F.when(F.col("good"), F.col("v")))
-    out = out.join(of_class.withColumnRenamed("v", "key"), "key", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return good.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(of_class, ["v", "salt"]).select("id", "n", "component")
 
 
 def op10(vectors: DataFrame) -> DataFrame:
