@@ -254,7 +254,7 @@ def test_chat_matches_sql_and_escapes(spark):
 
     said = ["\\### Assistant: </turn> ok", "### x\n</turn>\n", "\\", "</turn>", "", None, "é☃", "a\\\\<#"]
     r = random.Random(6)
-    rows = [(c, t, r.choice(["user", "assistant", "system", None]), r.choice(said)) for c in range(40) for t in range(r.randrange(1, 9))] + [(50, None, "user", "x"), (50, None, "user", "x"), (51, 0, "assistant", LONG)]
+    rows = [(c, t, r.choice(["user", "assistant", "system", None, "a\nb", "x\\\n"]), r.choice(said)) for c in range(40) for t in range(r.randrange(1, 9))] + [(50, None, "user", "x"), (50, None, "user", "x"), (51, 0, "assistant", LONG)]
     df = spark.createDataFrame([(*x, "extra") for x in rows], "conv_id long, turn long, role string, text string, piece string")
     got = sorted(tuple(x) for x in chat.op6(df).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect())
     conversations = df.toPandas()  # noqa: F841
@@ -271,6 +271,15 @@ def test_chat_matches_sql_and_escapes(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_tells_line_feeds_in_roles_from_those_after_them(spark):
+    rows = [(1, 0, "a\nb", "c"), (2, 0, "a", "b\nc"), (3, 0, "a\\", "\nb")]
+    texts = [x.text for x in chat.format_texts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
+    assert len(set(texts)) == 3
+    for _, _, role, text in rows:
+        head, body = chat.Reader._split(f"### {chat.escape_line(role)}\n{chat.escape(text)}")
+        assert (chat.unescape(head), chat.unescape(body)) == (role, text)
+
+
 def test_template_language():
     f = chat.compile_template("{# note #}{{ 'a' + 'b' | upper }}{% for message in messages %}{% if loop.first and message.role == 'user' %}U{% elif not loop.first %}{{ loop.index + 1 }}{% else %}-{% endif %}{{ message.text | trim }}{% endfor %}{% if 1 > 2 %}never{% endif %}!")
     assert "".join(p for p, _ in f([{"role": "user", "text": " x ", "turn": 0}, {"role": "assistant", "text": "y", "turn": 1}])) == "aBUx3y!"
@@ -324,6 +333,14 @@ def test_myers_and_leaks(spark):
     assert decontaminate.op7(docs(spark, EDGES), bench).count() == len(EDGES)
 
 
+def test_short_items(spark):
+    items = [(1, "ten chars!"), (2, "Forty two"), (3, "a question of thirty-nine characters ok"), (4, "  "), (5, "x")]
+    assert len(items[2][1]) == 39
+    rows = [(1, "before  Ten CHARS! after"), (2, "often chars! here"), (3, "forty two"), (4, "forty twos and a forty\ntwo."), (5, "so a questoin of thirty-nine characters ok it is"), (6, "a question of forty words and more"), (7, "axb"), (8, "a x b")]
+    got = {r.doc_id: r.item_ids for r in decontaminate.op7(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: [1], 2: [], 3: [2], 4: [2], 5: [3], 6: [], 7: [], 8: [5]}
+
+
 def test_leaks_in_parts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", 100)
     items = [(i, f"benchmark question number {i} with some more words to make it long enough") for i in range(9)]
@@ -416,6 +433,26 @@ def test_embedding_dedup(spark, n):
     assert embedding_dedup.op10(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_several_lengths_and_repeated_rows(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(50)] + [(100 + i, r.normal(size=3).tolist()) for i in range(20)]
+    rows += [(200, rows[7][1]), (201, rows[55][1]), (7, rows[7][1]), (7, rows[7][1]), (None, rows[7][1]), (300, [2.0]), (301, [0.5]), (302, [-1.0])]
+    got = {}
+    for x in embedding_dedup.op10(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(x.vec_id, set()).add((x.n_links, x.component_id))
+    unit = {i: (len(v), np.array(v) / np.linalg.norm(v)) for i, v in rows if i is not None}
+    links = {i: {j for j in unit if j != i and unit[i][0] == unit[j][0] and unit[i][1] @ unit[j][1] >= 0.9 - 1e-12} for i in unit}
+    assert {i: {(len(links[i]), min(c for c in got[i])[1])} for i in unit} == {i: got[i] for i in unit}
+    assert got[None] == {(0, None)} and got[200] == {(len(links[200]), min(links[200] | {200}))} and got[301] == {(1, 300)} and got[302] == {(0, 302)}
+    assert embedding_dedup.op10(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).count() == len(rows)
+
+
+def test_embedding_dedup_of_many_equal_vectors(spark):
+    df = spark.range(3000).selectExpr("id as vec_id", "transform(sequence(1, 4), i -> if(id % 3 = 0, 1D, cos(id * i + i))) as embedding")
+    got = {x.vec_id: x for x in embedding_dedup.op10(df).collect()}
+    assert all(got[i].component_id == 0 and got[i].n_links >= 999 for i in range(0, 3000, 3))
+
+
 # ---- the pipeline
 
 def test_embedding_dedup_finds_all_links_of_a_dense_group(spark):
@@ -452,6 +489,6 @@ def test_pipeline(spark):
     items = [(r.item_id, decontaminate.normal(r.text)) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     m = decontaminate.Matcher(items, decontaminate.ERROR_RATE)
     assert rows["decontaminate"].keys() == {i for i, r in rows["near_duplicates"].items() if not m.find(r.text)}
-    assert all(not any(x in decontaminate.normal(r.text) for _, x in items if len(x) >= decontaminate.MIN_CHARS) for r in rows["decontaminate"].values())
+    assert all(not any(x in decontaminate.normal(r.text) for _, x in items ) for r in rows["decontaminate"].values())
     own = tiktoken_of(bpe.codec(bpe.VOCABULARY))
     assert {i: r.ids_sha256 for i, r in rows["tokens"].items()} == {i: sha(" ".join(map(str, own.encode_ordinary(r.text)))) for i, r in rows["decontaminate"].items()}
