@@ -36,7 +36,7 @@ dump st_dump 1 1
 D st_area 1 1, st_length 1 1, st_perimeter 1 1, st_distance 2 2, st_maxdistance 2 2, st_hausdorffdistance 2 3, st_azimuth 2 2, st_minimumclearance 1 1, st_linelocatepoint 2 2
 G st_minimumclearanceline 1 1, st_closestpoint 2 2, st_shortestline 2 2, st_longestline 2 2
 G st_affine 7 13, st_buffer 2 3, st_buildarea 1 1, st_centroid 1 1, st_concavehull 2 3, st_convexhull 1 1, st_delaunaytriangles 1 3, st_difference 2 2, st_flipcoordinates 1 1
-G st_force2d 1 1, st_force3d 1 2, st_force3dz 1 2, st_force3dm 1 2, st_force4d 1 3, st_intersection 2 2, st_lineinterpolatepoint 2 2, st_linemerge 1 1, st_linesubstring 3 3
+G st_force2d 1 1, st_force3d 1 2, st_force3dz 1 2, st_force3dm 1 2, st_force4d 1 3, st_intersection 2 2, st_lineinterpolatepoint 2 2, st_linemerge 1 2, st_linesubstring 3 3
 G st_makevalid 1 2, st_normalize 1 1, st_pointonsurface 1 1, st_polygonize 1 1, st_reduceprecision 2 2, st_reverse 1 1, st_rotate 2 2, st_rotatex 2 2, st_rotatey 2 2
 G st_scale 3 4, st_segmentize 2 2, st_setcrs 2 2, st_setsrid 2 2, st_simplify 2 2, st_simplifypreservetopology 2 2, st_snap 3 3, st_symdifference 2 2
 G st_tessellategeog 2 2, st_tessellategeom 2 2, st_togeography 1 1, st_togeometry 1 1, st_transform 2 3, st_translate 3 4, st_unaryunion 1 1, st_union 2 2

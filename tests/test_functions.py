@@ -47,7 +47,7 @@ def test_text_and_binary_round_trip(one, wkt):
     ("st_astext(st_makeline(st_point(0,0), st_point(1,1)))", "LINESTRING(0 0,1 1)"), (f"st_astext(st_boundary({g('LINESTRING(0 0,1 1)')}))", "MULTIPOINT((0 0),(1 1))"), (f"st_hausdorffdistance({g('LINESTRING(0 0,2 0)')}, {g('LINESTRING(0 1,2 1)')})", 1.0),
     (f"st_minimumclearance({g(SQUARE)})", 1.0), (f"st_astext(st_linesubstring({g('LINESTRING(0 0,10 0)')}, 0.2, 0.5))", "LINESTRING(2 0,5 0)"), (f"st_numgeometries(st_delaunaytriangles({g('MULTIPOINT((0 0),(1 0),(0 1))')}))", 1),
     (f"st_area(st_buildarea({g('MULTILINESTRING((0 0,2 0,2 2,0 2,0 0),(0.5 0.5,1 0.5,1 1,0.5 1,0.5 0.5))')}))", 3.75), (f"st_astext(st_snap({g('POINT(0.1 0)')}, {g('POINT(0 0)')}, 0.5))", "POINT(0 0)"), (f"st_astext(st_reduceprecision({g('POINT(0.14 0.26)')}, 0.1))", "POINT(0.1 0.3)"),
-    (f"st_iscollection({g('MULTIPOINT((0 0))')})", True), (f"st_npoints({g(SQUARE)})", 5), (f"st_numpoints({g(SQUARE)})", None), ("s2_cellidfrompoint(st_geogpoint(0,0))", 1152921504606846977), ("size(s2_coveringcellids(st_geogpoint(0,0)))", 1),
+    (f"st_iscollection({g('MULTIPOINT((0 0))')})", True), (f"st_npoints({g(SQUARE)})", 5), (f"st_numpoints({g(SQUARE)})", 5), ("s2_cellidfrompoint(st_geogpoint(0,0))", 1152921504606846977), ("size(s2_coveringcellids(st_geogpoint(0,0)))", 1),
     ("sd_format(st_point(1,2))", "POINT(1 2)"), ("sd_order(5)", 5), (f"st_area(st_concavehull({g('MULTIPOINT((0 0),(1 0),(1 1),(0 1))')}, 1.0))", 1.0), (f"st_astext(st_pointonsurface({g('POINT EMPTY')}))", "POINT EMPTY"), ("st_astext(st_closestpoint(st_point(0,5), st_point(1,1)))", "POINT(0 5)"),
 ])
 def test_golden(one, expr, expected):
@@ -64,6 +64,56 @@ def test_errors(one, expr):
         one(expr)
 
 
+# Results that the functions must have.
+@pytest.mark.parametrize(("wkt", "z", "m"), [
+    ("POINT EMPTY", False, False), ("POINT Z EMPTY", True, False), ("POINT M EMPTY", False, True), ("POINT ZM EMPTY", True, True), ("LINESTRING Z EMPTY", True, False), ("POLYGON EMPTY", False, False),
+    ("GEOMETRYCOLLECTION EMPTY", False, False), ("GEOMETRYCOLLECTION(POINT Z(4 5 6))", True, False), ("MULTIPOINT ZM((4 5 6 7))", True, True), ("MULTIPOINT((4 5),(6 7))", False, False), ("POINT M(7 8 9)", False, True),
+])
+def test_dimensions(one, wkt, z, m):
+    for value in (g(wkt), f"st_geomfromwkb(st_asbinary({g(wkt)}))", f"st_geomfromewkb(st_asewkb({g(wkt)}))"):
+        assert (one(f"st_hasz({value})"), one(f"st_hasm({value})"), one(f"st_zmflag({value})")) == (z, m, 2 * z + m)
+
+
+@pytest.mark.parametrize(("expr", "expected"), [
+    ("st_startpoint(st_geomfromtext('POINT(8 9)'))", "POINT(8 9)"), ("st_startpoint(st_geomfromtext('POLYGON((5 5,9 5,9 9,5 5))'))", "POINT(5 5)"), ("st_startpoint(st_geomfromtext('MULTILINESTRING M((8 7 6,5 4 3),(1 1 1,2 2 2))'))", "POINT M(8 7 6)"),
+    ("st_startpoint(st_geomfromtext('GEOMETRYCOLLECTION(GEOMETRYCOLLECTION(POINT(6 7),LINESTRING(3 4,5 6)))'))", "POINT(6 7)"), ("st_startpoint(st_geomfromtext('MULTIPOINT EMPTY'))", None), ("st_endpoint(st_geomfromtext('POINT(8 9)'))", None),
+    ("st_linesubstring(st_geomfromtext('LINESTRING EMPTY'), 0D, 1D)", None), ("st_linesubstring(st_geomfromtext('LINESTRING(7 7,7 7)'), 0D, 1D)", "POINT(7 7)"), ("st_linesubstring(st_geomfromtext('LINESTRING(0 0,8 8)'), 0.5, 0.5)", "POINT(4 4)"),
+    ("st_linesubstring(st_geomfromtext('LINESTRING(0 0,0 0,8 0,8 0)'), 0D, 1D)", "LINESTRING(0 0,8 0)"), ("st_linesubstring(st_geomfromtext('LINESTRING M(0 8 16,8 16 24)'), 0D, 0.5D)", "LINESTRING M(0 8 16,4 12 20)"),
+    ("st_linesubstring(st_geomfromtext('LINESTRING ZM(0 8 16 24,8 16 24 32)'), 0.25D, 0.5D)", "LINESTRING ZM(2 10 18 26,4 12 20 28)"), ("st_linesubstring(st_geomfromtext('LINESTRING(0 0,9 0,9 9,0 9)'), 1/3D, 2/3D)", "LINESTRING(9 0,9 9)"),
+    ("st_buildarea(st_point(3, 4))", None), ("st_buildarea(st_geomfromtext('MULTILINESTRING EMPTY'))", "POLYGON EMPTY"), ("st_linemerge(st_geomfromtext('MULTIPOLYGON EMPTY'))", "MULTIPOLYGON EMPTY"), ("st_linemerge(st_point(3, 4))", "GEOMETRYCOLLECTION EMPTY"),
+    ("st_linemerge(st_geomfromtext('MULTILINESTRING((0 0,5 0),(5 5,5 0))'))", "LINESTRING(0 0,5 0,5 5)"), ("st_linemerge(st_geomfromtext('MULTILINESTRING((0 0,5 0),(5 5,5 0))'), true)", "MULTILINESTRING((0 0,5 0),(5 5,5 0))"),
+    ("st_linemerge(st_geomfromtext('MULTILINESTRING((5 0,5 5),(0 0,5 0),(5 5,9 9))'), true)", "LINESTRING(0 0,5 0,5 5,9 9)"), ("st_linemerge(st_geomfromtext('MULTILINESTRING((0 0,5 0),(5 0,5 5),(5 0,9 0))'), true)", "MULTILINESTRING((0 0,5 0),(5 0,5 5),(5 0,9 0))"),
+])
+def test_shapes(one, expr, expected):
+    assert one(f"st_astext({expr})") == expected
+
+
+def test_rings_of_empties(one):
+    assert [one(f"st_isring({g(w)})") for w in ("POINT EMPTY", "POLYGON EMPTY", "MULTIPOLYGON EMPTY", "GEOMETRYCOLLECTION EMPTY", "LINESTRING EMPTY")] == [False] * 5
+
+
+def test_geography_predicates_where_the_plane_tears(one):
+    box = "st_geogfromtext('POLYGON((179 -1,-179 -1,-179 1,179 1,179 -1))')"
+    cap = "st_geogfromtext('POLYGON((0 60,90 60,180 60,-90 60,0 60))')"
+    assert [one(f"st_intersects({box}, st_geogpoint({x}, 0))") for x in (0, 180, -180, 179.5, -179.5, 178, 90)] == [False, True, True, True, True, False, False]
+    assert [one(f"st_contains({cap}, st_geogpoint({x}, {y}))") for x, y in ((45, 89), (200, 75), (0, 90), (0, 59), (45, -80))] == [True, True, True, False, False]
+    assert one(f"st_within(st_geogpoint(180, 0.5), {box})") is True and one(f"st_disjoint({cap}, {box})") is True and one(f"st_intersects({cap}, {box})") is False
+    assert one(f"st_intersects({box}, st_geogfromtext('LINESTRING(170 0,-170 0.5)'))") is True and one(f"st_distance({box}, st_geogpoint(180, 0))") == 0.0
+    assert one(f"st_area(st_intersection({box}, st_geogfromtext('POLYGON((179.5 -2,-178 -2,-178 2,179.5 2,179.5 -2))')))") == pytest.approx(one(f"st_area({box})") * 0.75, rel=1e-3)
+    assert one(f"geoflux_bounds({cap}).ymax") == 90.0 and one(f"geoflux_bounds({cap}).xmin") == -180.0
+
+
+def test_covering_cells_hold_every_place(spark, one):
+    shapes = ["POLYGON((10 10,40 12,38 30,12 28,10 10))", "POLYGON((0 0,60 0.01,60 0.02,0 0))", "LINESTRING(-170 -50,-60 70,20 10)", "POLYGON((179 -1,-179 -1,-179 1,179 1,179 -1))", "POLYGON((0 60,90 60,180 60,-90 60,0 60))"]
+    for w in shapes:
+        cells = one(f"s2_coveringcellids(st_geogfromtext('{w}'))")
+        assert 0 < len(cells) <= 8 and len(set(cells)) == len(cells)
+        inside = [r.c for r in spark.sql(f"SELECT explode(st_dump(st_points(st_segmentize(st_geogfromtext('{w}'), 50000D)))) AS d").selectExpr("s2_cellidfrompoint(st_togeography(d.geom)) AS c").collect()]
+        low = lambda c: (c & 2**64 - 1) - ((c & -c) - 1)
+        high = lambda c: (c & 2**64 - 1) + ((c & -c) - 1)
+        assert all(any(low(k) <= (c & 2**64 - 1) <= high(k) for k in cells) for c in inside)
+
+
 def test_geography_measures(one):
     eighth = "st_geogfromtext('POLYGON((0 0,90 0,0 90,0 0))')"
     assert one(f"st_area({eighth})") == pytest.approx(4 * math.pi * 6371010**2 / 8, rel=1e-9)
