@@ -5,7 +5,8 @@ sample; every vector is indexed. A vector probes every list whose cell and
 shell can hold a vector within the radius, so no list is left out by a count.
 Distances to the members of a list come from tables by their codes. A member
 whose table distance exceeds the radius by more than its own known
-quantisation error cannot be a neighbour, so the lookup loses nothing; what
+quantisation error cannot be a neighbour, so the lookup loses nothing; half of
+the tables rule out most members, as the other half has a bound by norms. What
 remains is held to the exact cosine in double precision.
 
 Near lists form groups, cut into chunks of members and of queries, so no task
@@ -28,9 +29,9 @@ from .common import Scratch, components
 #: Rows of the sample on which lists and codes are fitted; the driver holds them.
 SAMPLE = 16_384
 MAX_LISTS = 1024
-SUBSPACES, CODES = 8, 256
-#: Members and queries that meet in a task at once, and members that it looks up at a time.
-CHUNK, STEP = 8192, 512
+SUBSPACES, CODES = 16, 256
+#: Members and queries that meet in a task at once, and queries and members that it looks up at a time: few enough for the processor's caches.
+CHUNK, ASKED, STEP = 8192, 1024, 64
 #: Parts into which the rows of equal vectors are cut.
 SALTS = 32
 
@@ -218,36 +219,59 @@ def _of_length(good: DataFrame, dim: int, cosine: float, scratch: Scratch) -> Da
         # A table distance is at most the radius and the member's error just where the product is at least this.
         need = ((1 + (back**2).sum(1) - (radius + error) ** 2) / 2 - 1e-4).astype(np.float32)
         reach = known.reach(uq, own[q], lists, shells, radius)
-        tables, centre = known.tables(uq), (known.coarse[lists] @ uq.T).astype(np.float32)
+        half = max(1, len(known.cuts) // 2)
+        first = known.cuts[half - 1][-1] + 1  # dimensions that the first half of the tables has
+        rest_m = np.sqrt((back[:, first:] ** 2).sum(1)).astype(np.float32)
         n_q, n_m = np.zeros(len(q), np.int64), np.zeros(len(m), np.int64)
         ends = [(none["a"].to_numpy(), none["b"].to_numpy())]
         inside = group[own[q]] == int(t["at"][0].as_py())
         starts = np.searchsorted(own[m], lists, "left").tolist() + [len(m)]
-        for k in range(len(lists)):
-            qs = np.nonzero(reach[:, k])[0]
-            if len(qs) == 0:
-                continue
-            some = tables if len(qs) == len(q) else [x[:, qs] for x in tables]
-            for lo in range(starts[k], starts[k + 1], STEP):
-                ms = np.arange(lo, min(lo + STEP, starts[k + 1]))
-                dot = np.repeat(centre[k][None, qs], len(ms), 0)
-                for i, x in enumerate(some):
-                    dot += x[codes[ms, i]]
-                mi, qi = np.nonzero(dot >= need[ms][:, None])
-                # Within a group both rows ask for each other: one of the two counts, and none for itself.
-                once = ~inside[qs[qi]] | (rep[q][qs[qi]] < rep[m][ms[mi]])
-                mi, qi = mi[once], qi[once]
-                if len(qi) == 0:
+        for asked in np.array_split(np.arange(len(q)), -(-len(q) // ASKED)):
+            tables = known.tables(uq[asked])
+            centre = (known.coarse[lists][:, :first] @ uq[asked, :first].T).astype(np.float32)
+            centre_rest = (known.coarse[lists][:, first:] @ uq[asked, first:].T).astype(np.float32)
+            rest_q = np.sqrt((uq[asked, first:] ** 2).sum(1)).astype(np.float32)
+            for k in range(len(lists)):
+                at = np.nonzero(reach[asked, k])[0]
+                if len(at) == 0:
                     continue
-                if len(qi) * 16 > dot.size:
-                    keep = (um[ms] @ uq[qs].T)[mi, qi] >= cosine
-                else:
-                    keep = np.concatenate([np.einsum("ij,ij->i", uq[qs[qi[s : s + 65536]]], um[ms[mi[s : s + 65536]]]) >= cosine for s in range(0, len(qi), 65536)])
-                mi, qi = ms[mi[keep]], qs[qi[keep]]
-                if len(qi):
-                    n_q += np.bincount(qi, w[m][mi], len(q)).astype(np.int64)
-                    n_m += np.bincount(mi, w[q][qi], len(m)).astype(np.int64)
-                    ends.append(_forest(rep[q][qi], rep[m][mi]))
+                every = 2 * len(at) > len(asked)
+                at = slice(None) if every else at
+                some = tables if every else [x[:, at] for x in tables]
+                near, far, qs = centre[k, at], centre_rest[k, at], asked[at]
+                bound = rest_q[at].max() * (1 + 1e-6)
+                for lo in range(starts[k], starts[k + 1], STEP):
+                    ms = np.arange(lo, min(lo + STEP, starts[k + 1]))
+                    dot = some[0][codes[ms, 0]]
+                    dot += near
+                    for i in range(1, half):
+                        dot += some[i][codes[ms, i]]
+                    mi, qi = np.nonzero(dot >= (need[ms] - rest_m[ms] * bound - 1e-5)[:, None])
+                    if len(qi) * 16 > dot.size:
+                        dot += far
+                        for i in range(half, len(some)):
+                            dot += some[i][codes[ms, i]]
+                        mi, qi = np.nonzero(dot >= need[ms][:, None])
+                    elif len(qi):
+                        full = dot[mi, qi] + far[qi]
+                        for i in range(half, len(some)):
+                            full += some[i][codes[ms[mi], i], qi]
+                        keep = full >= need[ms[mi]]
+                        mi, qi = mi[keep], qi[keep]
+                    # Within a group both rows ask for each other: one of the two counts, and none for itself.
+                    once = ~inside[qs[qi]] | (rep[q][qs[qi]] < rep[m][ms[mi]])
+                    mi, qi = mi[once], qi[once]
+                    if len(qi) == 0:
+                        continue
+                    if len(qi) * 16 > dot.size:
+                        keep = (um[ms] @ uq[qs].T)[mi, qi] >= cosine
+                    else:
+                        keep = np.einsum("ij,ij->i", uq[qs[qi]], um[ms[mi]]) >= cosine
+                    mi, qi = ms[mi[keep]], qs[qi[keep]]
+                    if len(qi):
+                        n_q += np.bincount(qi, w[m][mi], len(q)).astype(np.int64)
+                        n_m += np.bincount(mi, w[q][qi], len(m)).astype(np.int64)
+                        ends.append(_forest(rep[q][qi], rep[m][mi]))
         a, b = _forest(*(np.concatenate(e) for e in zip(*ends, strict=True)))
         ids, n = np.concatenate([rep[q], rep[m]]), np.concatenate([n_q, n_m])
         ids, n = ids[n > 0], n[n > 0]
