@@ -42,7 +42,7 @@ G st_scale 3 4, st_segmentize 2 2, st_setcrs 2 2, st_setsrid 2 2, st_simplify 2
 G st_tessellategeog 2 2, st_tessellategeom 2 2, st_togeography 1 1, st_togeometry 1 1, st_transform 2 3, st_translate 3 4, st_unaryunion 1 1, st_union 2 2
 L s2_cellidfrompoint 1 1, sd_order 1 1
 S sd_format 1 2
-G sd_simplifystorage 1 1, geoflux_fromgeojson 1 1
+G sd_simplifystorage 1 1, geoflux_fromgeojson 1 1, geoflux_covered 5 5
 cells s2_coveringcellids 1 4, geoflux_cells 2 3, geoflux_keys 4 4
 L geoflux_anchor 3 3
 I geoflux_level 2 2, geoflux_floor 1 1

@@ -5,6 +5,9 @@ broadcast whole; otherwise boxes meet in the cells of a hierarchy of grids, by
 an equi-join that Spark can shuffle, split when skewed, and spill. A pair that
 meets in several cells counts in one of them, found from its boxes alone.
 What meets is held to the boxes and then to the exact predicate.
+
+Outer, semi and anti joins are left to the planner, which gives the side that
+is kept one key a row: such a join needs no ids and looks at no side twice.
 """
 
 from __future__ import annotations
@@ -45,10 +48,27 @@ def _boxed(df: DataFrame, side: str, geom: str | Column, box: Column | None, gro
     return out
 
 
-def _kept(left: DataFrame, right: DataFrame, how: str) -> tuple[DataFrame, DataFrame]:
-    """Sides that the join looks at twice keep the ids of their rows."""
-    kind = HOW[how]
-    return (left if kind in ("inner", "right", "right_semi", "right_anti") else stable(left)), (right if kind not in ("right", "full", "right_semi", "right_anti") else stable(right))
+PLANNED = {"left": "left", "right": "right", "left_semi": "left_semi", "left_anti": "left_anti", "right_semi": "left_semi", "right_anti": "left_anti"}
+
+
+def _planned(left: DataFrame, right: DataFrame, exact: Column, how: str, lcols: list[str], rcols: list[str], suffix: str) -> DataFrame:
+    l, r = left.drop("l_box", "l_id"), right.drop("r_box", "r_id")
+    swapped = how in ("right_semi", "right_anti")
+    out = r.join(l, exact, PLANNED[how]) if swapped else l.join(r, exact, PLANNED[how])
+    names = {c.lower() for c in lcols}
+    lsel = [F.col(f"l_row.`{c}`").alias(c) for c in lcols]
+    if swapped:
+        return out.select(*[F.col(f"r_row.`{c}`").alias(c) for c in rcols])
+    return out.select(*lsel, *([F.col(f"r_row.`{c}`").alias(c if c.lower() not in names else c + suffix) for c in rcols] if how in ("left", "right") else []))
+
+
+def _joined(left: DataFrame, right: DataFrame, exact: Column, how: str, lcols: list[str], rcols: list[str], suffix: str, limit: int) -> DataFrame:
+    if how in PLANNED:
+        return _planned(left, right, exact, how, lcols, rcols, suffix)
+    if how != "inner":  # sides that the join looks at twice keep the ids of their rows
+        left = stable(left)
+        right = stable(right) if how == "full" else right
+    return _finish(_pairs(left, right, exact, limit), left, right, how, lcols, rcols, suffix)
 
 
 def _pairs(left: DataFrame, right: DataFrame, exact: Column, limit: int) -> DataFrame:
@@ -79,20 +99,14 @@ def _finish(pairs: DataFrame, left: DataFrame, right: DataFrame, how: str, lcols
     rsel = [F.col(f"r_row.`{c}`").alias(c if c.lower() not in names else c + suffix) for c in rcols]
     if how == "inner":
         return pairs.select(*lsel, *rsel)
-    if how in ("left_semi", "left_anti"):
-        return left.join(pairs.select("l_id").distinct(), "l_id", how).select(*lsel)
-    if how in ("right_semi", "right_anti"):
-        return right.join(pairs.select("r_id").distinct(), "r_id", how.replace("right", "left")).select(*[F.col(f"r_row.`{c}`").alias(c) for c in rcols])
     if how == "left_mark":
         hit = pairs.select("l_id").distinct().withColumn("mark", F.lit(True))
         return left.join(hit, "l_id", "left").select(*lsel, F.coalesce("mark", F.lit(False)).alias("mark"))
     out = pairs.select("l_row", "r_row")
-    if how in ("left", "full"):
-        rest = left.join(pairs.select("l_id").distinct(), "l_id", "left_anti")
-        out = out.unionByName(rest.select("l_row"), allowMissingColumns=True)
-    if how in ("right", "full"):
-        rest = right.join(pairs.select("r_id").distinct(), "r_id", "left_anti")
-        out = out.unionByName(rest.select("r_row"), allowMissingColumns=True)
+    rest = left.join(pairs.select("l_id").distinct(), "l_id", "left_anti")
+    out = out.unionByName(rest.select("l_row"), allowMissingColumns=True)
+    rest = right.join(pairs.select("r_id").distinct(), "r_id", "left_anti")
+    out = out.unionByName(rest.select("r_row"), allowMissingColumns=True)
     return out.select(*lsel, *rsel)
 
 
@@ -105,7 +119,7 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects
     right_anti or left_mark (left rows and a boolean ``mark``). Null and empty
     geometries match nothing. Columns of the right side whose names the left
     side has get ``suffix``. ``condition`` is SQL over ``l_row`` and ``r_row``.
-    Boxes can be given, from plain numbers, where they are known.
+    Boxes can be given, from plain numbers, where they are known; inner joins use them.
     """
     predicate = predicate.lower().removeprefix("st_")
     if predicate not in PREDICATES:
@@ -113,11 +127,10 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects
     if how not in HOW:
         raise ValueError(f"not a kind of join: {how}")
     lb, rb = _boxed(left, "l", left_geom, left_box, None), _boxed(right, "r", right_geom, right_box, None)
-    lb, rb = _kept(lb, rb, how)
     exact = call(f"st_{predicate}", "l_geom", "r_geom")
     if condition:
         exact = exact & F.expr(condition)
-    return _finish(_pairs(lb, rb, exact, broadcast_bytes), lb, rb, HOW[how], left.columns, right.columns, suffix)
+    return _joined(lb, rb, exact, HOW[how], left.columns, right.columns, suffix, broadcast_bytes)
 
 
 def distance_join(left: DataFrame, right: DataFrame, distance: float | str | Column, left_geom: str | Column = "geometry", right_geom: str | Column = "geometry",
@@ -129,8 +142,7 @@ def distance_join(left: DataFrame, right: DataFrame, distance: float | str | Col
     """
     by = F.lit(float(distance)) if isinstance(distance, (int, float)) else _column(distance)
     lb, rb = _boxed(left, "l", left_geom, None, by), _boxed(right, "r", right_geom, None, None)
-    lb, rb = _kept(lb, rb, how)
     exact = call("st_distance", "l_geom", "r_geom") < F.col("by") if strict else call("st_dwithin", "l_geom", "r_geom", F.col("by"))
     if condition:
         exact = exact & F.expr(condition)
-    return _finish(_pairs(lb, rb, exact, broadcast_bytes), lb, rb, HOW[how], left.columns, right.columns, suffix)
+    return _joined(lb, rb, exact, HOW[how], left.columns, right.columns, suffix, broadcast_bytes)

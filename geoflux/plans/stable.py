@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from .shared import shared_dir
+
 
 def stable(df: DataFrame) -> DataFrame:
-    """The frame, kept: a checkpoint in the cluster's shared folder where there is one, so that ids given to rows survive the
-    loss of an executor; else on disk."""
+    """The frame as a checkpoint in the cluster's shared folder, so that ids given to rows survive the loss of an executor."""
     sc = df.sparkSession.sparkContext
-    where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if where and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(where)
-    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.persist(StorageLevel.DISK_ONLY)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

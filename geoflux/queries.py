@@ -294,13 +294,13 @@ def raster_clip_resample_formats(spark, d):
 
 @query(f"SELECT count(*)::BIGINT AS n, round(sum(x), 2) AS sx, 'OGC:CRS84' AS crs FROM ({POINTS}) WHERE x BETWEEN 0 AND 5000 AND y BETWEEN 0 AND 500")
 def geoparquet_round_trip(spark, d):
-    import tempfile
     import uuid
 
+    from .plans.shared import delete_at_exit, shared_dir
     from .sources import geoparquet
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    path = f"{root.rstrip('/')}/geoparquet-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/geoparquet-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
     geoparquet.write(points(spark, d).withColumn("geometry", F.expr("st_setsrid(geometry, 4326)")), path, geoparquet_version="1.1", sort_by=["geometry"])
     got = geoparquet.read(spark, path, bbox=(0, 0, 5000, 500))
     return got.agg(F.count("*").alias("n"), F.round(F.sum(st.st_x("geometry")), 2).alias("sx"), F.min(st.st_crs("geometry")).alias("crs"))
@@ -391,3 +391,6 @@ def embedding_knn_fiftieth(spark, d):
 
     e = table(spark, d, "embeddings")
     return vector_knn(e.where("vec_id % 50 = 0"), e, 5)
+
+
+from . import function_queries as _function_queries  # noqa: E402, F401  its queries register themselves

@@ -15,33 +15,46 @@ from ..functions import call, register
 DEFAULT_CRS = "OGC:CRS84"
 
 
-def metadata(spark: SparkSession, path: str) -> dict | None:
-    """The geo entry of the first Parquet file under a path, by Hadoop's file system, or None."""
-    m = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = m.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    found = fs.globStatus(p)
-    queue = list(found) if found else []
-    while queue:
-        s = queue.pop(0)
-        if s.isDirectory():
-            queue = sorted((c for c in fs.listStatus(s.getPath()) if not c.getPath().getName().startswith(("_", "."))), key=lambda c: c.getPath().getName())[:64] + queue
-            continue
-        reader = m.org.apache.parquet.hadoop.ParquetFileReader.open(m.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(s, conf))
-        try:
-            raw = reader.getFileMetaData().getKeyValueMetaData().get("geo")
-        finally:
-            reader.close()
-        return json.loads(raw) if raw else None
-    return None
+def metadata(spark: SparkSession, paths: str | list[str]) -> dict | None:
+    """The geo entries of all Parquet files under the paths as one, or None if none has any.
+
+    Footers are read by Spark's executors and equal entries are sent once.
+    Columns must agree in encoding, reference system and edges; bounds and
+    kinds of geometries are united; a covering that some file lacks is none.
+    """
+    files = [paths] if isinstance(paths, str) else list(paths)
+    register(spark)
+    entries = [json.loads(e) if e else None for e in jvm.static(spark, "geoflux.GeoParquet", "entries", ["org.apache.spark.sql.classic.SparkSession", "java.lang.String"], [spark._jsparkSession, "\n".join(files)])]
+    with_geo = [e for e in entries if e]
+    if not with_geo:
+        return None
+    out = json.loads(json.dumps(with_geo[0]))
+    for entry in with_geo[1:]:
+        for name, column in entry["columns"].items():
+            have = out["columns"].setdefault(name, json.loads(json.dumps(column)))
+            for key, default in (("encoding", "WKB"), ("crs", DEFAULT_CRS), ("edges", "planar")):
+                if have.get(key, default) != column.get(key, default):
+                    raise ValueError(f"files differ in the {key} of column {name}")
+            have["geometry_types"] = sorted({*have.get("geometry_types", []), *column.get("geometry_types", [])}) if have.get("geometry_types") and column.get("geometry_types") else []
+            a, b = have.get("bbox"), column.get("bbox")
+            half = len(a) // 2 if a and b and len(a) == len(b) else 0
+            have["bbox"] = [*map(min, a[:half], b[:half]), *map(max, a[half:], b[half:])] if half else None
+            if have.get("covering") != column.get("covering"):
+                have.pop("covering", None)
+    if len(with_geo) < len(entries):
+        for column in out["columns"].values():
+            column.pop("covering", None)
+            column["bbox"] = None
+    return out
 
 
 def _crs(entry: dict) -> str | None:
     crs = entry.get("crs", DEFAULT_CRS)
     if isinstance(crs, dict):
         code = crs.get("id")
-        return f"{code['authority']}:{code['code']}" if code else None
+        if not code:
+            raise ValueError(f"the reference system {crs.get('name')!r} has no authority and code; name one by geometry_columns")
+        return f"{code['authority']}:{code['code']}"
     return crs
 
 
@@ -57,7 +70,7 @@ def read(spark: SparkSession, paths: str | list[str], geometry_columns: dict | N
     register(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = spark.read.options(**(options or {})).parquet(*paths)
-    geo = metadata(spark, paths[0]) or {"columns": {}}
+    geo = metadata(spark, paths) or {"columns": {}}
     columns = {**geo["columns"], **{k: {**geo["columns"].get(k, {"crs": None}), **v} for k, v in (geometry_columns or {}).items()}}
     if bbox is not None:
         name = geo.get("primary_column") or next(iter(columns))
@@ -70,6 +83,10 @@ def read(spark: SparkSession, paths: str | list[str], geometry_columns: dict | N
         if name not in df.columns:
             continue
         c = F.col(f"`{name}`")
+        cover = entry.get("covering", {}).get("bbox")
+        if cover and entry.get("edges") != "spherical":
+            # The planner compares these columns wherever the geometry is held against a constant, and reads them only there.
+            c = call("geoflux_covered", c, *[F.col(".".join(f"`{p}`" for p in cover[k])).cast("double") for k in ("xmin", "ymin", "xmax", "ymax")])
         if validate:
             c = call("st_geomfromwkb", c)
         if crs := _crs(entry):
@@ -93,8 +110,8 @@ def write(df: DataFrame, path: str, geometry: str | list[str] | None = None, geo
     or like them. One pass finds their kinds, bounds and reference system.
     """
     spark = register(df.sparkSession)
-    if geoparquet_version not in ("1.0", "1.1", "2.0", "none"):
-        raise ValueError(f"not a version of GeoParquet: {geoparquet_version}")
+    if geoparquet_version not in ("1.0", "1.1", "none"):
+        raise ValueError(f"not a version of GeoParquet that is written: {geoparquet_version}")
     names = [geometry] if isinstance(geometry, str) else geometry
     if names is None:
         names = [f.name for f in df.schema if f.dataType.typeName() == "binary" and f.name.lower().startswith(("geom", "geog", "wkb"))]

@@ -153,7 +153,10 @@ def test_rasters(one):
     assert one(f"rs_bandnodatavalue({r})") == -9.0
     assert one(f"rs_zonalstats({r}, st_geomfromtext('POLYGON((10 18,12 18,12 20,10 20,10 18))'), 'sum')") == 12.0
     assert one(f"rs_zonalstats({r}, st_point(0, 0), 'sum')") is None
-    assert one(f"rs_shape(rs_slicerange({r}, 'x', 0, 2))") == [2, 2]
+    assert one(f"rs_shape(rs_slicerange(rs_bandtodim({r}, 'time'), 'time', 0, 1))") == [1, 2, 3]
+    for e in (f"rs_slicerange({r}, 'x', 0, 2)", f"rs_slice({r}, 'y', 0)", f"rs_dimtoband({r}, 'x')", f"rs_slice(rs_bandtodim({r}, 'time'), 'time', 1)", f"rs_slice(rs_bandtodim({r}, 'time'), 'time', -1)"):
+        with pytest.raises(Exception):  # noqa: B017
+            one(e)
     assert one(f"rs_numbands(rs_dimtoband(rs_bandtodim({r}, 'time'), 'time'))") == 1
     assert one(f"size(rs_tile({r}, 2, 2))") == 2
     assert one(f"rs_bandpixeltype({r})") == "SIGNED_16BITS" and one("rs_value(rs_setcrs(rs_example(), '0'), rs_pixelascentroid(rs_setcrs(rs_example(), '0'), 1, 1), 1)") is None and one("rs_bandnodatavalue(rs_example())") == 127.0

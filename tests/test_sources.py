@@ -6,6 +6,7 @@ import struct
 
 import pytest
 
+from geoflux import functions as st
 from geoflux.session import connect
 from geoflux.sources import geoparquet
 
@@ -120,3 +121,34 @@ def test_zarr_and_geotiff(ctx, tmp_path):
 def test_random_geometry(ctx):
     df = ctx.sql("""SELECT * FROM sd_random_geometry('{"geom_type": "Polygon", "num_rows": 20, "hole_rate": 1.0}')""").df
     assert df.count() == 20 and df.selectExpr("bool_and(st_isvalid(geometry)) AS v", "min(st_nrings(geometry)) AS n").head() == (True, 2)
+
+
+def test_geoparquet_scan_is_pruned_by_filters(spark, tmp_path):
+    st.register(spark)
+    path = str(tmp_path / "pruned")
+    points = spark.range(4000).selectExpr("id", "st_point(id % 200, cast(id / 200 as int)) AS geometry").repartitionByRange(4, "id")
+    geoparquet.write(points, path, geoparquet_version="1.1")
+    for text, rows in (
+        ("st_intersects(geometry, st_geomfromtext('POLYGON((2 3,7 3,7 9,2 9,2 3))', 'OGC:CRS84'))", 42), ("st_within(geometry, st_geomfromtext('POLYGON((2 3,7 3,7 9,2 9,2 3))', 'OGC:CRS84'))", 20),
+        ("st_dwithin(geometry, st_point(5, 5, 'OGC:CRS84'), 1)", 5), ("st_distance(geometry, st_point(5, 5, 'OGC:CRS84')) < 1.5", 9), ("st_contains(st_geomfromtext('POLYGON((2 3,7 3,7 9,2 9,2 3))', 'OGC:CRS84'), geometry) AND id > 5", 20),
+    ):
+        df = geoparquet.read(spark, path, geometry_columns={"geometry": {"crs": "OGC:CRS84"}}).where(text)
+        plan = df.select("id")._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == rows and "LessThanOrEqual(geometry_bbox.xmin" in plan and "st_geomfromtext" not in plan and "st_point" not in plan
+    plain = geoparquet.read(spark, path).select("id", "geometry")._jdf.queryExecution().executedPlan().toString()
+    assert "geometry_bbox" not in plain and "geoflux_covered" not in plain
+
+
+def test_geoparquet_metadata_of_several_files(spark, tmp_path):
+    st.register(spark)
+    one, two, three = (str(tmp_path / x) for x in ("a", "b", "c"))
+    geoparquet.write(spark.sql("SELECT st_point(1, 2, 'EPSG:3857') AS geometry"), one, geoparquet_version="1.1")
+    geoparquet.write(spark.sql("SELECT st_geomfromtext('LINESTRING(3 4,5 9)', 'EPSG:3857') AS geometry"), two)
+    geoparquet.write(spark.sql("SELECT st_point(1, 2) AS geometry"), three)
+    column = geoparquet.metadata(spark, [one, two])["columns"]["geometry"]
+    assert column["bbox"] == [1, 2, 5, 9] and column["geometry_types"] == ["LineString", "Point"] and "covering" not in column
+    assert geoparquet.read(spark, [one, two]).selectExpr("st_srid(geometry) AS s").distinct().collect()[0].s == 3857
+    with pytest.raises(ValueError):
+        geoparquet.read(spark, [one, three])
+    with pytest.raises(ValueError):
+        geoparquet.write(spark.sql("SELECT st_point(1, 2) AS geometry"), str(tmp_path / "d"), geoparquet_version="2.0")
