@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import delete, delete_at_exit, shared_dir
+
 #: ASCII white space, as the contracts name it: space and code points 9 to 13.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -18,34 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    ``spark.checkpoint.dir`` of the session; only where it is unset (local
-    tests) a temporary folder is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        sc = spark.sparkContext
-        where = sc._jsc.sc().getCheckpointDir()
-        where = where.get() if where.isDefined() else None
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="shared-")
-            spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A written table survives the loss of any executor, unlike a local
-    checkpoint. ``drop`` deletes a table that no later step reads.
+    checkpoint. ``drop`` deletes a table that no later step reads; the rest, which
+    the lazy result may read, goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
+        delete_at_exit(spark, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -57,12 +43,7 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            self._delete(t._scratch_path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(self.spark, t._scratch_path)
 
 
 @contextlib.contextmanager
