@@ -1,11 +1,13 @@
 """Quality classification by importance resampling.
 
 Two generative models of hashed n-grams are counted: one of target texts
-(labelled good), one of all raw texts. The importance weight of a text is the
-ratio of its likelihoods under both. Gumbel top-k draws the texts to keep: as
-many as weigh more than a cut that is calibrated on the labelled rows, with
-Gumbel noise of a small temperature, so that only texts at the cut are left
-to chance. The rest is rejected.
+(labelled good), one of all raw texts. The log importance weight of a text is
+the sum, over its n-grams, of how much likelier the target model makes each
+than the raw model, less a cut for each n-gram. Gumbel top-k draws the texts to
+keep: standard Gumbel noise is added to the log weights and the k largest stay,
+which draws k texts without replacement in proportion to their weights. The
+rest is rejected. The cut is calibrated on the labelled rows, and k is the
+number of texts of positive log weight unless it is given.
 
 The n-grams are byte trigrams, and pairs of word shapes (case, end
 punctuation, whether a word repeats the one before).
@@ -28,8 +30,8 @@ TRIGRAMS, SHAPES = 1 << 16, 1 << 11
 LABELLED = 20_000
 #: Neutral n-grams added to each text, so that very short texts are not judged on a few n-grams.
 NEUTRAL = 50.0
-#: Noise as a share of the distance between the classes' medians.
-TEMPERATURE = 0.01
+#: A labelled good text that is lost weighs as much as this many bad ones that pass.
+LOSS = 3
 _END = {c: i for i, c in enumerate(".,;:!?|#$%&*", 1)}
 
 
@@ -96,17 +98,17 @@ def _log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Log weights by bucket, the cut, and the temperature."""
+    """Log ratios by bucket."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights, self.cut, self.temperature, self.key_cut = weights, -np.inf, 0.0, -np.inf
+        self.weights = weights
 
-    def log_weight(self, text: str | None) -> float:
-        """Mean log ratio over trigrams plus that over shape pairs; -1e9 without words."""
+    def mean(self, text: str | None) -> tuple[float, int]:
+        """Mean log ratio over trigrams plus that over shape pairs, and the number of trigrams; (-1e9, 0) without words."""
         if not text or not text.strip():
-            return -1e9
+            return -1e9, 0
         tri, pair = features(text)
-        return float(self.weights[tri].sum() / (len(tri) + NEUTRAL) + self.weights[pair + TRIGRAMS].sum() / (len(pair) + NEUTRAL / 5))
+        return float(self.weights[tri].sum() / (len(tri) + NEUTRAL) + self.weights[pair + TRIGRAMS].sum() / (len(pair) + NEUTRAL / 5)), len(tri)
 
 
 def gumbel(key: Column, seed: int = 11) -> Column:
@@ -133,73 +135,82 @@ def kth_largest(values: DataFrame, k: int) -> float:
             return sorted((r.key for r in values.where((F.col("key") >= low) & (F.col("key") <= high)).select("key").collect()), reverse=True)[k - 1]
 
 
-def _score(docs: DataFrame, shared, text_col: str, name: str) -> DataFrame:
-    schema = docs.limit(0).withColumn(name, F.lit(0.0)).schema
+def _score(docs: DataFrame, shared, text_col: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` plus _mean and _size."""
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumns({"_mean": F.lit(0.0), "_size": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using("quality", _words.clear)
         model = shared.value
         for batch in batches:
-            w = [model.log_weight(t.as_py()) for t in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w, pa.float64())], names=[f.name for f in schema])
+            both = [model.mean(t.as_py()) for t in batch.column(text_col)]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in keep], pa.array([m for m, _ in both], pa.float64()), pa.array([n for _, n in both], pa.int64())], names=[f.name for f in schema]
+            )
         _words.clear()
         release()
 
     return docs.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """The model of a corpus. The raw counts, the number to keep and the cut of the draw see all texts; of the
-    labels at most ``LABELLED`` rows of each class are used. Without good labels nothing is rejected but empty texts;
-    without bad ones the cut lets 99 of 100 good texts pass."""
+def calibrated(good: np.ndarray, bad: np.ndarray) -> float:
+    """The cut between labelled means at which lost good ones, each ``LOSS`` times, and passed bad ones are fewest; without
+    bad ones the cut that 99 of 100 good ones pass, without good ones none."""
+    if len(good) == 0:
+        return -np.inf
+    if len(bad) == 0:
+        return float(np.quantile(good, 0.01))
+    good, bad = np.sort(good), np.sort(bad)
+    cuts = np.unique(np.concatenate([good, bad]))
+    lost = np.searchsorted(good, cuts) / len(good)  # good ones below a cut
+    passed = 1 - np.searchsorted(bad, cuts) / len(bad)
+    best = int(np.argmin(LOSS * lost + passed))
+    return float((cuts[best - 1] + cuts[best]) / 2 if best else cuts[best] - 0.5)
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, cut: float | None = None,
+             columns: list[str] | None = None, seed: int = 11) -> DataFrame:
+    """The rows of ``docs`` plus log_weight double, key double and kept boolean.
+
+    ``k`` rows are drawn (all rows of positive weight count if it is None) with
+    ``cut`` for each n-gram (calibrated on the labels if it is None). The raw
+    counts, the number to keep and the draw see all texts; of the labels at
+    most ``LABELLED`` rows of each class are used. Without good labels nothing
+    is rejected but texts without words.
+
+    A null, empty or blank text has log_weight -1e9 and goes, whatever ``k``.
+    Equal rows get equal results, and ties with the last one drawn stay; a null
+    id draws one noise. ``columns`` are those of ``docs`` to return, all by
+    default; columns called log_weight, key or kept are replaced. Scores are
+    written once with these columns. An empty table stays empty.
+    """
     spark = ship(docs.sparkSession)
     scratch = Scratch(spark)
-    one = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label")).where("id is not null")
+    docs = without(docs, "log_weight", "key", "kept", "_mean", "_size", "_label", "_id")
+    columns = [c for c in (columns or docs.columns) if c in docs.columns]
+    one = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label")).where("_id is not null")
     one = scratch.save(one)
-    used = [one.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(LABELLED) for c in (0, 1)]
+    used = [one.where(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(LABELLED) for c in (0, 1)]
     used = F.broadcast(scratch.save(used[0].union(used[1])))  # 2 x LABELLED rows at most
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(used, "id", "left")
-    raw, target = _counts(rows.select("text", "label"))
-    if target.sum() == 0:
-        return Model(np.zeros(TRIGRAMS + SHAPES))
-    model = Model(_log_ratio(raw, target))
-    scored = scratch.save(_score(rows.select("id", "text", "label"), spark.sparkContext.broadcast(model), "text", "w").select("id", "label", "w"))
-    known = scored.where("label is not null and w > -1e8").select("label", "w").collect()  # 2 x LABELLED rows at most
-    good = np.sort([r.w for r in known if r.label == 1])
-    bad = np.sort([r.w for r in known if r.label == 0])
-    if len(good) == 0:
-        return model
-    if len(bad):
-        cuts = np.unique(np.concatenate([good, bad]))
-        lost = np.searchsorted(good, cuts) / len(good)  # good ones below a cut
-        passed = 1 - np.searchsorted(bad, cuts) / len(bad)
-        best = int(np.argmin(3 * lost + passed))  # a lost good text weighs three times a passed bad one
-        below = cuts[best - 1] if best else cuts[best] - 1
-        model.cut = float((below + cuts[best]) / 2)
-        model.temperature = TEMPERATURE * abs(float(np.median(good) - np.median(bad)))
+    rows = docs.join(used, F.col(f"`{id_col}`") == F.col("_id"), "left").drop("_id")
+    raw, target = _counts(rows.select(F.col(f"`{text_col}`"), "_label"))
+    learned = target.sum() > 0
+    shared = spark.sparkContext.broadcast(Model(_log_ratio(raw, target) if learned else np.zeros(TRIGRAMS + SHAPES)))
+    keep = list(dict.fromkeys([*columns, id_col]))
+    scored = scratch.save(_score(rows, shared, text_col, [*keep, "_label"]))
+    if cut is None:
+        known = scored.where("_label is not null and _size > 0").select("_label", "_mean").collect() if learned else []  # 2 x LABELLED rows at most
+        cut = calibrated(np.array([r._mean for r in known if r._label == 1]), np.array([r._mean for r in known if r._label == 0]))
+    words = F.col("_mean") > -1e8
+    weight = F.when(~words, -1e9).otherwise((F.col("_mean") - cut) * (F.col("_size") + NEUTRAL) if cut > -np.inf else F.lit(0.0))
+    out = scored.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") + gumbel(F.col(f"`{id_col}`"), seed))
+    if cut == -np.inf and k is None:
+        last = -np.inf
     else:
-        model.cut = float(np.quantile(good, 0.01))
-    k = scored.where(F.col("w") >= model.cut).count()
-    keys = scored.select((F.col("w") + model.temperature * gumbel(F.col("id"))).alias("key"))
-    model.key_cut = kth_largest(keys, k) if k else np.inf
-    return model
-
-
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` plus log_weight double, key double and kept boolean.
-
-    ``kept`` is Gumbel top-k over all rows (ties with the last one stay). A
-    null, empty or blank text has log_weight -1e9 and goes. Equal rows get
-    equal results; a null id draws one noise. Columns of these names are
-    replaced; the texts are read again rather than moved, so nothing of them is
-    shuffled. An empty table stays empty.
-    """
-    model = fit(docs, labels, id_col, text_col)
-    docs = without(docs, "log_weight", "key", "kept")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = _score(docs, shared, text_col, "log_weight").withColumn("key", F.col("log_weight") + model.temperature * gumbel(F.col(f"`{id_col}`")))
-    return out.withColumn("kept", (F.col("key") >= float(model.key_cut)) & (F.col("log_weight") > -1e8))
+        k = out.where("log_weight > 0").count() if k is None else min(k, out.where("log_weight > -1e8").count())
+        last = kth_largest(out.select("key"), k) if k else np.inf
+    return out.select(*[F.col(f"`{c}`") for c in columns], "log_weight", "key", ((F.col("key") >= float(last)) & (F.col("log_weight") > -1e8)).alias("kept"))
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return classify(docs.select("doc_id", "text"), labels).select("doc_id", "log_weight", "key", "kept")
+    return classify(docs.select("doc_id", "text"), labels, columns=["doc_id"])
