@@ -15,6 +15,11 @@ signatures, all classes are first held against one of them; only what lies in
 different components after that is held pairwise, if the parities of the sets
 allow a link at all. So a large group of near copies costs about one
 comparison a member, and no link between components is lost. Every link is verified on the whole shingle sets.
+
+Signatures that very many sets share are found by counts in a fixed number of
+bins. Their rows are cut into parts by the hash of the set: what holds for a
+signature is aggregated before the exchange and goes to its parts, and pairs
+are made part by part, so no task has all rows of a signature.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,6 +40,8 @@ from .common import Scratch, bloom_joins, components, release, using
 SLACK = 1.25
 #: Turns in which the members of a bucket meet one centre, before what is still apart meets pairwise.
 STARS = 2
+#: Bins in which rows of signatures are counted, rows of a signature that one task may hold, and parts of a larger one.
+BINS, LARGE, SALTS = 65_536, 1_000, 32
 #: Distinct words whose hashes a worker holds.
 WORD_CACHE = 200_000
 LARGEST = 2**40
@@ -210,6 +217,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(second, "b").join(first, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _salt(cid: str = "cid") -> Column:
+    return F.pmod(F.xxhash64(cid), F.lit(SALTS)).cast("int")
+
+
+def _told(rows: DataFrame, some_large: bool, **of_sig: Column) -> DataFrame:
+    """The rows plus aggregates over the rows of their signature; ``large`` tells which signatures are too large for a task."""
+    by_sig = Window.partitionBy("sig")
+    small = (rows.where("not large") if some_large else rows).withColumns({k: a.over(by_sig) for k, a in of_sig.items()})
+    if not some_large:
+        return small
+    big = rows.where("large").withColumn("salt", _salt())
+    parts = F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cid), {SALTS}) as int))")).alias("parts")
+    known = big.groupBy("sig").agg(*[a.alias(k) for k, a in of_sig.items()], parts)
+    known = known.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> getbit(parts, i) = 1)"))).drop("parts")
+    return small.unionByName(big.join(known, ["sig", "salt"]).drop("salt"))
+
+
+def _large(sigs: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(bin) of the bins that may hold a large signature, BINS rows at most; none if there is none."""
+    counts = scratch.save(sigs.groupBy(F.pmod("sig", F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n")))
+    mean = (counts.agg(F.sum("n")).head()[0] or 0) / BINS
+    bins = scratch.save(counts.where(F.col("n") > LARGE + 4 * mean).select("bin"))
+    scratch.drop(counts)
+    return bins if bins.limit(1).count() else None
+
+
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: (id, n_shingles long, class_id, component_id).
 
@@ -229,10 +262,13 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     digest = scratch.save(_digests(rows, words, percent))
     classes = scratch.save(digest.where("n > 0").groupBy("cid", "chk").agg(F.min("id").alias("rep")))
-    by_sig = Window.partitionBy("sig")
     sigs = digest.where("size(sigs) > 0").select("cid", F.explode("sigs").alias("x")).select(F.shiftrightunsigned("x", 1).alias("sig"), F.col("x").bitwiseAND(1).alias("probe"), "cid")
+    bins = _large(sigs, scratch)
+    if bins is not None:
+        marked = F.broadcast(bins.withColumn("large", F.lit(True)))  # BINS rows at most
+        sigs = sigs.withColumn("bin", F.pmod("sig", F.lit(BINS)).cast("int")).join(marked, "bin", "left").drop("bin").withColumn("large", F.coalesce("large", F.lit(False)))
     members = (
-        sigs.withColumns({"low": F.min("cid").over(by_sig), "high": F.max("cid").over(by_sig), "probed": F.max("probe").over(by_sig), "size": F.count("*").over(by_sig)})
+        _told(sigs, bins is not None, low=F.min("cid"), high=F.max("cid"), probed=F.max("probe"), size=F.count("*"))
         .where("low < high and probed = 1")
         .select("sig", "probe", "cid", "size")
     )
@@ -243,20 +279,23 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     with bloom_joins(spark):
         wanted = rows.join(some.where("weight > 0"), F.col("id") == F.col("node")).select("cid", "text")
         sets = scratch.save(_sets(wanted, words))
-    apart = scratch.save(members.join(some, "cid").select("sig", "probe", "cid", "weight", F.col("node").alias("comp")))
+    apart = scratch.save(members.join(some, "cid").select("sig", "probe", "cid", "weight", F.col("node").alias("comp"), (F.col("size") > LARGE).alias("large")))
     scratch.drop(members)
     ends = some.select(F.col("cid").alias("a"), F.col("node").alias("na")), some.select(F.col("cid").alias("b"), F.col("node").alias("nb"))
     tried = links = label = None
     for turn in range(STARS + 1):
         if turn < STARS:
-            centre = F.max(F.struct("weight", "cid", "comp")).over(by_sig)
-            pairs = apart.withColumn("c", centre).where("comp <> c.comp").select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b"))
+            centred = _told(apart, bins is not None, c=F.max(F.struct("weight", "cid", "comp")))
+            pairs = centred.where("comp <> c.comp").select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b"))
         else:
             # Parities rule out most of what is near the threshold but below it before a pair is made.
             told = apart.join(sets.select("cid", "n", "parity"), "cid")
-            x, y = told.alias("x"), told.alias("y")
+            # Of a large signature, part i of its rows meets part j in one task; small ones have one part.
+            salt, all_parts = F.when(F.col("large"), _salt()).otherwise(0), F.expr(f"if(large, sequence(0, {SALTS - 1}), array(0))")
+            x = told.withColumns({"i": salt, "j": F.explode(all_parts)}).alias("x")
+            y = told.withColumns({"j": salt, "i": F.explode(all_parts)}).alias("y")
             apart_bits = " + ".join(f"bit_count(x.parity[{i}] ^ y.parity[{i}])" for i in range(16))
-            near = f"x.sig = y.sig and x.comp < y.comp and x.probe + y.probe > 0 and {apart_bits} <= (x.n + y.n) * {100 - percent} / {100 + percent}"
+            near = f"x.sig = y.sig and x.i = y.i and x.j = y.j and x.comp < y.comp and x.probe + y.probe > 0 and {apart_bits} <= (x.n + y.n) * {100 - percent} / {100 + percent}"
             pairs = x.join(y, F.expr(near)).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
@@ -270,10 +309,11 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
             label = components(both.select(F.col("na").alias("a"), F.col("nb").alias("b")), scratch)
         if turn < STARS:
             placed = apart.join(some.select("cid", "node"), "cid").join(label, "node", "left")
+            placed = placed.select("sig", "probe", "cid", "weight", F.coalesce("component", "node").alias("comp"), "large")
+            placed = _told(placed, bins is not None, top=F.max(F.struct("weight", "cid")), low=F.min("comp"), high=F.max("comp")).where("low < high")
             # A centre has met its bucket; it stands back, so that the next turn has another one.
-            spent = F.when(F.col("cid") == F.max(F.struct("weight", "cid")).over(by_sig)["cid"], -F.abs("weight")).otherwise(F.col("weight"))
-            placed = placed.select("sig", "probe", "cid", spent.alias("weight"), F.coalesce("component", "node").alias("comp"))
-            placed = placed.withColumns({"low": F.min("comp").over(by_sig), "high": F.max("comp").over(by_sig)}).where("low < high").drop("low", "high")
+            spent = F.when(F.col("cid") == F.col("top.cid"), -F.abs("weight")).otherwise(F.col("weight"))
+            placed = placed.select("sig", "probe", "cid", spent.alias("weight"), "comp", "large")
             apart = scratch.save(placed)
             if not apart.limit(1).count():
                 break
@@ -284,10 +324,18 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     )
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` but for those with a smaller id in their component; ids are unique or null (kept)."""
-    joined = ngram_join(docs, words, percent, id_col).where(f"component_id <> `{id_col}`").select(id_col)
-    return docs.join(joined, id_col, "left_anti")
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for those with a smaller id in their component.
+
+    Rows with a null id stay. Of repeated rows (equal id and text) one stays.
+    Columns are as before.
+    """
+    joined = ngram_join(docs, words, percent, id_col, text_col).where(f"component_id <> `{id_col}`").select(id_col)
+    kept = docs.join(joined, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    ids = docs.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").groupBy("id").agg(F.count("*").alias("n"))
+    if not ids.where("n > 1").limit(1).count():  # only ids move to find this out
+        return kept
+    return kept.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col, text_col]).union(kept.where(F.col(f"`{id_col}`").isNull()))
 
 
 def op2(docs: DataFrame) -> DataFrame:
