@@ -136,6 +136,26 @@ def test_ngram_join(spark, words, percent):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_join(rows, words, percent)
 
 
+def test_ngram_join_of_signatures_that_very_many_sets_share(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 4)
+    monkeypatch.setattr(ngram_join, "SALTS", 4)
+    monkeypatch.setattr(ngram_join, "BINS", 64)
+    r = random.Random(12)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join(common + [r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(r.choice([2, 6, 9]))])) for i in range(120)]
+    rows += [(200 + i, " ".join([f"d{k}" for k in range(60)] + [f"e{i % 7}"] * (i % 3))) for i in range(60)]
+    for words, percent in ((3, 90), (1, 70)):
+        got = ngram_join.ngram_join(docs(spark, rows).repartition(5), words, percent).collect()
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_join(rows, words, percent)
+
+
+def test_keep_one_of_repeated_rows(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "x y"), (3, "x y"), (None, "x y z"), (None, "x y z"), (4, None), (4, None)]
+    kept = ngram_join.keep_one(docs(spark, rows))
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted([(1, "a b c d e f"), (3, "x y"), (None, "x y z"), (None, "x y z"), (4, None)], key=str)
+    assert kept.columns == docs(spark, []).columns
+
+
 def test_ngram_join_edges(spark):
     rows = [*EDGES, (9, "no id at all")]
     got = {(x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.op2(docs(spark, rows)).collect()}
@@ -213,6 +233,41 @@ def test_secrets(spark):
     assert secrets.op4(docs(spark, EDGES)).count() == len(EDGES) and secrets.op4(docs(spark, []).limit(0)).count() == 0
 
 
+def test_battery_against_numpy(spark):
+    r = random.Random(21)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for _, letters, _ in secrets.ENCODINGS for n in (20, 33, 64, 200)]
+    texts += ["0123456789" * 4, "abcdefghijklmnopqrstuvwxyz", "a" * 40, "helloworldthisisatextofmanywords", "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo="]
+    got = {x.s: x for x in secrets.battery(spark.createDataFrame([(t,) for t in texts], "s string")).collect()}
+
+    def tail(z):
+        return 0.5 * math.erfc(z / math.sqrt(2))
+
+    for t in texts:
+        name, letters, _ = next(e for e in secrets.ENCODINGS if re.match(e[2], t))
+        x = np.array([letters.index(c) for c in t.rstrip("=")])
+        n, k = len(x), len(letters)
+        chi = (np.bincount(x, minlength=k) ** 2).sum() * k / n - n
+        hi = 2 * x >= k
+        ones, zeros, runs = hi.sum(), n - hi.sum(), 1 + (hi[1:] != hi[:-1]).sum()
+        mean, var = 2 * ones * zeros / n + 1, 2.0 * ones * zeros * (2.0 * ones * zeros - n) / (n * n * (n - 1.0))
+        d = x - x.mean()
+        corr = abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * n**0.5 if (d * d).sum() else 40.0
+        p = [tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)), 2 * tail(abs(runs - mean) / math.sqrt(var) if var > 0 else 40.0), 2 * tail(corr)]
+        half = -sum(math.log(min(max(v, 1e-30), 1)) for v in p)
+        assert got[t].encoding == name and abs(got[t].p - math.exp(-half) * (1 + half + half * half / 2)) < 1e-5
+
+
+def test_cuts_of_the_battery(spark):
+    r = random.Random(22)
+    p = [r.random() for _ in range(4000)] + [r.random() * 0.02 for _ in range(6000)]  # random strings and words
+    df = spark.createDataFrame([("hex", 20, x) for x in p] + [("hex", 40, 0.001)] * 50, "encoding string, band int, p double")
+    got = {(x.encoding, x.band): x.cut for x in secrets.cuts(df, 0.1).collect()}
+    bins = np.bincount(np.minimum((np.array(p) * secrets.BINS).astype(int), secrets.BINS - 1), minlength=secrets.BINS)
+    above = bins[::-1].cumsum()[::-1]
+    want = next(b for b in range(1, secrets.BINS // 2 + 1) if above[b] and 1 - 2 * above[secrets.BINS // 2] * (secrets.BINS - b) / secrets.BINS / above[b] <= 0.1)
+    assert got == {("hex", 20): want / secrets.BINS}
+
+
 # ---- 5
 
 
@@ -239,6 +294,24 @@ def test_sharding(spark, n):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_sharding_is_uniform(spark):
+    n = 16_000
+    got = sharding.shard(spark.range(n).selectExpr("id AS doc_id", "cast(id % 7 AS string) AS text"), rows_per_block=500).collect()
+    place = np.zeros(n, int)
+    for x in got:
+        place[x.doc_id] = x.shard * 1000 + x.slot
+    assert sorted(place) == list(range(n))
+    # Neither the order nor the neighbourhood of the input shows in the places: chi-squared of 16 x 16 cells, and of steps between neighbours.
+    cells = np.zeros((16, 16))
+    np.add.at(cells, (np.arange(n) // 1000, place // 1000), 1)
+    assert ((cells - n / 256) ** 2 / (n / 256)).sum() < 225 + 5 * 21
+    fine = np.zeros((16, 10))
+    np.add.at(fine, (np.arange(n) % 16, place % 1000 // 100), 1)
+    assert ((fine - n / 160) ** 2 / (n / 160)).sum() < 135 + 5 * 16.5
+    step = np.bincount((place[1:] - place[:-1]) % n * 20 // n, minlength=20)
+    assert ((step - (n - 1) / 20) ** 2 / ((n - 1) / 20)).sum() < 19 + 5 * 6.2
+
+
 def test_sharding_edges_and_files(spark, tmp_path):
     got = sharding.op5(docs(spark, EDGES * 3)).collect()
     assert len(got) == 3 * len(EDGES) and len({(x.shard, x.slot) for x in got}) == len(got)
@@ -386,6 +459,45 @@ def test_language_id(spark):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
+def test_language_id_against_brute_force(spark):
+    import zstandard as zstd
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = d.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h")).collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    letters = lambda t: re.sub(r"[\W\d_]+", " ", t.lower())
+    known = {}
+    for lang in sorted({r.lang for r in rows if r.lang is not None and not held[r.doc_id]}):
+        mine = [r for r in rows if r.lang == lang and r.text is not None and not held[r.doc_id] and any(c.isalpha() for c in r.text)]
+        mine = sorted(mine, key=lambda r: (not 200 <= len(r.text) <= 20_000, r.h, r.doc_id))[: language_id.TEXTS]
+        each, share = [letters(r.text).encode() for r in mine], language_id.DICTIONARY_BYTES // len(mine) + 1
+        while sum(len(e[:share]) for e in each) < language_id.DICTIONARY_BYTES and any(len(e) > share for e in each):
+            share *= 2
+        known[lang] = b" ".join(e[:share] for e in each)[: language_id.DICTIONARY_BYTES]
+    got = {r.doc_id: r for r in language_id.op9(d).collect()}
+    assert language_id.fit(d.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2")) == known
+    for r in rows:
+        assert got[r.doc_id].held_out == held[r.doc_id]
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        raw, size = letters(r.text).encode("utf-8", "replace"), {}
+        for lang, words in known.items():
+            how = zstd.ZstdCompressionParameters.from_level(5, dict_size=len(words), source_size=language_id.PIECE, strategy=zstd.STRATEGY_GREEDY, min_match=4, search_log=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+            packer = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(words, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=how)
+            size[lang] = sum(len(packer.compress(raw[i : i + language_id.PIECE])) for i in range(0, len(raw), language_id.PIECE))
+        best = min(size, key=lambda k: (size[k], k))
+        second = min(v for k, v in size.items() if k != best)
+        assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - (1 - size[best] / second)) < 1e-12
+
+
+def test_language_id_ties_and_clashing_columns(spark):
+    same = {"aa": b"the same words in both", "bb": b"the same words in both"}
+    d = docs(spark, [(1, "the same words"), (2, "the same words"), (3, None)]).withColumnsRenamed({"key": "score", "n_lines": "lang_pred"})
+    out = language_id.identify(d, same)
+    assert {(r.doc_id, r.lang_pred, r.score) for r in out.collect()} == {(1, "aa", 0.0), (2, "aa", 0.0), (3, "und", 0.0)} and out.columns.count("score") == 1
+
+
 def test_language_id_edges(spark):
     known = {"en": b"the words of the language and the texts of it", "fr": b"les mots de la langue et les textes de la"}
     got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.identify(docs(spark, [*EDGES, (20, "123 456 !!!")]), known).collect()}
@@ -471,6 +583,33 @@ def test_embedding_dedup_finds_all_links_of_a_dense_group(spark):
 
 
 
+@pytest.fixture
+def odd_corpus(spark, tmp_path):
+    """A folder with tables whose rows are odd: nulls, empty, blank, long, repeated and clashing ones."""
+    good = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    line = "one line of more than forty characters that many documents hold"
+    rows = [(i, t, None, None, None) for i, t in EDGES] + [(500 + i, f"{line}\nown words of document {i} and some more", "en", "web", 3) for i in range(6)] + [(None, None, None, None, None)] * 2 + [(600, LONG, "en", "web", 0)]
+    good.unionByName(spark.createDataFrame(rows, good.schema)).withColumns({"key": F.lit("k"), "row": F.lit(1), "w": F.lit(2.0), "items": F.lit("i"), "n_lines": F.lit("n")}).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_of_odd_rows(spark, odd_corpus):
+    import corpus_pipeline as p
+
+    d, scratch = spark.read.parquet(f"{odd_corpus}/documents.parquet"), Scratch(spark)
+    for name, stage in p.STAGES:
+        assert stage.__doc__
+        empty = stage(spark, d.limit(0), odd_corpus)
+        assert empty.count() == 0
+        d = scratch.save(stage(spark, d, odd_corpus))
+        assert name == "tokens" or d.columns == list(p.COLUMNS) == empty.columns
+    ids = [r.doc_id for r in d.collect()]
+    assert ids and len(ids) == len(set(ids)) and not {1, 2, 3} & set(ids)
+    assert sorted(map(str, p.run(spark, odd_corpus).collect())) == sorted(map(str, d.collect()))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
