@@ -7,6 +7,10 @@
 4. decontaminate: documents that hold a benchmark item go.
 5. tokens: byte-level BPE of what is left, and back; the last stage returns
    digests, all others the columns of ``documents`` (``n_chars`` follows the text).
+
+Every stage takes any rows: null ids and columns, null, empty and very long
+texts, repeated rows, tables without rows, and further columns whatever their
+names, which it drops.
 """
 
 from __future__ import annotations
@@ -21,22 +25,27 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
+    """The rows that the classifier keeps. Null, empty and blank texts go; equal rows fare alike."""
+    return quality.classify(docs, table(spark, sf_dir, "labels"), columns=list(COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with their texts without common lines. A null text becomes empty; rows with a null id stay as they are."""
     return line_dedup.line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of smallest id of each group, and one of repeated rows. Texts without words are in no group; rows with a null id stay."""
     return ngram_join.keep_one(docs, words=5, percent=80).select(*COLUMNS)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose texts hold no benchmark item. Null and empty texts hold none."""
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("items") == 0).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """For each row the id, the number of tokens, and digests of the ids and of what they decode to. Null texts count as empty."""
     return bpe.round_trip(docs)
 
 
@@ -53,6 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written to the shared folder and read again by the next."""
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
