@@ -111,3 +111,14 @@ rows("rs_values_and_bands", "z", K, [
     ("sl", "rs_numdimensions(rs_slice(rs_bandtodim({r}, 'time'), 'time', 0))", "2"), ("sr", "rs_shape(rs_slicerange(rs_bandtodim({r}, 'time'), 'time', 0, 1))[1]", "3::BIGINT"), ("sv", "rs_value(rs_dimtoband(rs_slicerange(rs_bandtodim({r}, 'time'), 'time', 0, 1), 'time'), st_point(n_nationkey + 3, 29.5))", "n_nationkey + 1.0"),
     ("rm", "rs_value(rs_reprojectmatch({r}, {r}), st_point(n_nationkey + 3, 29.5))", "n_nationkey + 1.0"), ("rw", "rs_value(rs_reprojectmatch({r}, rs_make(array(0D, 0D), 2, 1, n_nationkey + 2, 29, 2, -1, '', 'float64', -9)), st_point(n_nationkey + 5, 28.5))", "n_nationkey + 6.0"),
 ], r=RASTER, two="st_geomfromtext(concat('MULTIPOINT((', n_nationkey + 1, ' 29.5),(', n_nationkey + 7, ' 27.5))'))", left="st_envelope(st_makeline(st_point(n_nationkey, 27), st_point(n_nationkey + 4, 30)))")
+
+E2, PHI, LAM = 0.0066943799901413165, "radians(y / 20)", "radians(x / 100)"
+NORMAL = f"(6378137 / sqrt(1 - {E2} * sin({PHI}) * sin({PHI})))"
+rows("fn_projections", "p", "id", [
+    ("mx", "round(st_x(st_transform({g}, 'EPSG:3395')), 4)", f"round(6378137 * {LAM}, 4)"),
+    ("my", "round(st_y(st_transform({g}, 'EPSG:3395')), 4)", f"round(6378137 * ln(tan(pi() / 4 + {PHI} / 2) * power((1 - sqrt({E2}) * sin({PHI})) / (1 + sqrt({E2}) * sin({PHI})), sqrt({E2}) / 2)), 4)"),
+    ("gx", "round(st_x(st_transform({g}, 'EPSG:4978')), 4)", f"round({NORMAL} * cos({PHI}) * cos({LAM}), 4)"),
+    ("gy", "round(st_y(st_transform({g}, 'EPSG:4978')), 4)", f"round({NORMAL} * cos({PHI}) * sin({LAM}), 4)"),
+    ("gz", "round(st_z(st_transform({g}, 'EPSG:4978')), 4)", f"round({NORMAL} * (1 - {E2}) * sin({PHI}), 4)"),
+    ("lon", "round(st_x(st_transform(st_transform({g}, 'EPSG:2154'), 'EPSG:4326')), 7)", "round(x / 100, 7)"), ("lat", "round(st_y(st_transform(st_transform({g}, 'EPSG:3035'), 'EPSG:4326')), 7)", "round(y / 20, 7)"),
+], g="st_point(x / 100, y / 20, 4326)")

@@ -147,14 +147,14 @@ def register(spark: SparkSession) -> SparkSession:
         other = FORMS.get(name, (-1, name, ddl))
         lines.append("\t".join(map(str, (name, ddl, least, most, *other))))
     functions = jsession.sessionState().functionRegistry()
-    jvm.static(spark, "geoflux.Udf", "register", ["org.apache.spark.sql.catalyst.analysis.FunctionRegistry", "java.lang.String"], [functions, "\n".join(lines)])
+    jvm.static(spark, "geoflux.Udf", "register", [functions, "\n".join(lines)])
     for name, (fold, ddl) in AGGREGATES.items():
-        made = jvm.static(spark, "geoflux.Agg", "udaf", ["java.lang.String", "org.apache.spark.sql.types.StructType"], [fold, kind(f"struct<v:{ddl}>") if ddl else None])
+        made = jvm.static(spark, "geoflux.Agg", "udaf", [fold, kind(f"struct<v:{ddl}>") if ddl else None])
         jsession.udf().register(name, made)
         if ddl:
-            jvm.static(spark, "geoflux.Udf", "unwrap", ["org.apache.spark.sql.catalyst.analysis.FunctionRegistry", "java.lang.String"], [functions, name])
+            jvm.static(spark, "geoflux.Udf", "unwrap", [functions, name])
     for name, (more, ddl, body) in EXPRESSIONS.items():
         spark.sql(f"create or replace temporary function {name}(r {RASTER_TYPE}{', ' + more if more else ''}) returns {ddl} return {body}")
-    jvm.static(spark, "geoflux.Plan", "install", ["org.apache.spark.sql.classic.SparkSession"], [jsession])
+    jvm.static(spark, "geoflux.Plan", "install", [jsession])
     _known.add(key)
     return spark

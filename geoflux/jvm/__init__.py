@@ -59,13 +59,13 @@ def loader(spark: SparkSession):
     return _loaders[sc.applicationId]
 
 
-def static(spark: SparkSession, name: str, method: str, kinds: list[str], args: list):
-    """The result of a static method of the kernels."""
-    gw, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
-    types = gw.new_array(jvm.java.lang.Class, len(kinds))
-    for i, k in enumerate(kinds):
-        types[i] = loader(spark).loadClass(k)
-    values = gw.new_array(jvm.java.lang.Object, len(args))
+def static(spark: SparkSession, name: str, method: str, args: list):
+    """The result of a static method of the kernels, found by its name and number of arguments."""
+    gw = spark.sparkContext._gateway
+    values = gw.new_array(gw.jvm.java.lang.Object, len(args))
     for i, a in enumerate(args):
         values[i] = a
-    return loader(spark).loadClass(name).getMethod(method, types).invoke(None, values)
+    for m in loader(spark).loadClass(name).getMethods():
+        if m.getName() == method and m.getParameterCount() == len(args):
+            return m.invoke(None, values)
+    raise AttributeError(f"{name} has no method {method} of {len(args)} arguments")

@@ -39,7 +39,7 @@ class Context:
                     query, params = re.sub(r"\$\d+", "?", query), [params[i - 1] for i in order]
         df = self.spark.sql(query, args=params or None)
         if "st_knn" in query.lower():
-            df = DataFrame(jvm.static(self.spark, "geoflux.Plan", "rewritten", ["org.apache.spark.sql.classic.Dataset"], [df._jdf]), self.spark)
+            df = DataFrame(jvm.static(self.spark, "geoflux.Plan", "rewritten", [df._jdf]), self.spark)
         return Frame(self, df)
 
     def frame(self, df: DataFrame) -> Frame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import jvm
 from ..functions import call, register
 from ..ship import ship
 
@@ -156,7 +157,8 @@ def shapefile(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     stem = F.regexp_replace("path", r"\.[A-Za-z]+$", "")
     shp = _listed(spark, paths, "*.shp").select(stem.alias("stem"), F.col("content").alias("shp"))
     dbf = _listed(spark, [p[:-4] + ".dbf" if p.endswith(".shp") else p for p in paths], "*.dbf").select(stem.alias("stem"), F.col("content").alias("dbf"))
-    fields = _dbf_fields(dbf.head()[1])[3]
+    head = jvm.static(spark, "geoflux.Files", "head", [spark._jsparkSession, "\n".join(p[:-4] + ".dbf" if p.endswith(".shp") else p for p in paths), ".dbf", 65_536])  # a header ends before
+    fields = _dbf_fields(bytes(head))[3]
 
     def parse(shp: bytes, dbf: bytes) -> Iterator[tuple]:
         at = 100

@@ -24,7 +24,7 @@ def metadata(spark: SparkSession, paths: str | list[str]) -> dict | None:
     """
     files = [paths] if isinstance(paths, str) else list(paths)
     register(spark)
-    entries = [json.loads(e) if e else None for e in jvm.static(spark, "geoflux.GeoParquet", "entries", ["org.apache.spark.sql.classic.SparkSession", "java.lang.String"], [spark._jsparkSession, "\n".join(files)])]
+    entries = [json.loads(e) if e else None for e in jvm.static(spark, "geoflux.GeoParquet", "entries", [spark._jsparkSession, "\n".join(files)])]
     with_geo = [e for e in entries if e]
     if not with_geo:
         return None

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import jvm
 from ..functions import call, register
 from ..ship import ship
 
@@ -44,20 +45,10 @@ def _loaded(spark: SparkSession, paths: list[str], loader: Any) -> DataFrame:
 
 def _hidden(spark: SparkSession, path: str) -> dict[tuple[str, str], dict]:
     """The .zarray and .zattrs below a folder, which Spark's scans pass over: two small files an array."""
-    m = spark.sparkContext._jvm
-    top = m.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out, queue = {}, [fs.getFileStatus(top)]
-    while queue:
-        at = queue.pop().getPath()
-        here = [m.org.apache.hadoop.fs.Path(at, n) for n in (".zarray", ".zattrs")]
-        for p in here:
-            if fs.exists(p):
-                stream = fs.open(p)
-                out[(at.toString(), p.getName())] = json.loads(m.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-                stream.close()
-        if not fs.exists(here[0]):  # an array holds chunks only
-            queue += [s for s in fs.listStatus(at) if s.isDirectory()]
+    out = {}
+    for line in jvm.static(spark, "geoflux.Files", "texts", [spark._jsparkSession, path, ".zarray\n.zattrs"]):
+        folder, name, text = line.split("\t", 2)
+        out[folder, name] = json.loads(text)
     return out
 
 

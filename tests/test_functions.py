@@ -127,6 +127,43 @@ def test_transform_round_trip(one):
     assert one("st_x(st_transform(st_point(9,45,4326),'EPSG:32632'))") == pytest.approx(500000)
 
 
+# Origins of published systems, and the geocentric place of (0, 0) and a pole.
+@pytest.mark.parametrize(("code", "lon", "lat", "x", "y"), [
+    (2154, 3, 46.5, 700000, 6600000), (3034, 10, 52, 4000000, 2800000), (5070, -96, 23, 0, 0), (3577, 132, 0, 0, 0), (3310, -120, 0, 0, -4000000), (3035, 10, 52, 4321000, 3210000), (3031, 0, -90, 0, 0), (3413, 0, 90, 0, 0), (32661, 0, 90, 2000000, 2000000),
+    (2157, -8, 53.5, 600000, 750000), (2193, 173, 0, 1600000, 10000000), (25832, 9, 0, 500000, 0), (28355, 147, 0, 500000, 10000000), (3395, 180, 0, 20037508.342789244, 0),
+])
+def test_projections_at_their_origins(one, code, lon, lat, x, y):
+    p = f"st_transform(st_point({lon}, {lat}, 4326), 'EPSG:{code}')"
+    assert (one(f"st_x({p})"), one(f"st_y({p})")) == pytest.approx((x, y), abs=1e-5)
+
+
+@pytest.mark.parametrize(("code", "lon", "lat", "equal_area"), [
+    (2154, 5.3, 44.1, False), (3034, 20, 60, False), (3347, -75, 50, False), (5070, -110, 40, True), (3577, 145, -30, True), (3310, -118, 35, True), (3035, 2, 48, True), (3031, 60, -80, False), (3413, 20, 75, False), (3995, -100, 72, False), (32761, 10, -85, False),
+    (2180, 21, 52, False), (3006, 18, 59, False), (2193, 175, -41, False), (2157, -6, 53, False), (32633, 17, 40, False), (3395, 20, 60, False),
+])
+def test_projections_go_back_and_keep_angles_or_areas(one, code, lon, lat, equal_area):
+    to = lambda x, y: (lambda p: (one(f"st_x({p})"), one(f"st_y({p})")))(f"st_transform(st_point({x}, {y}, 4326), 'EPSG:{code}')")
+    x, y = to(lon, lat)
+    back = f"st_transform(st_point({x}D, {y}D, {code}), 'EPSG:4326')"
+    assert (one(f"st_x({back})"), one(f"st_y({back})")) == pytest.approx((lon, lat), abs=1e-9)
+    d, e2 = 1e-4, 0.0066943799901413165
+    s = 1 - e2 * math.sin(math.radians(lat)) ** 2
+    east, north = 6378137 / s**0.5 * math.cos(math.radians(lat)) * math.radians(d), 6378137 * (1 - e2) / s**1.5 * math.radians(d)
+    (a, b), (c, f) = to(lon + d, lat), to(lon, lat + d)
+    u, v = ((a - x) / east, (b - y) / east), ((c - x) / north, (f - y) / north)
+    if equal_area:
+        assert u[0] * v[1] - u[1] * v[0] == pytest.approx(1, abs=2e-5)
+    else:
+        assert math.hypot(*u) == pytest.approx(math.hypot(*v), rel=2e-5) and u[0] * v[0] + u[1] * v[1] == pytest.approx(0, abs=2e-5)
+
+
+def test_geocentric_places(one):
+    assert one("st_astext(st_transform(st_point(0, 0, 4326), 'EPSG:4978'))") == "POINT Z(6378137 0 0)"
+    assert one("st_z(st_transform(st_point(0, 90, 4326), 'EPSG:4978'))") == pytest.approx(6356752.314245179, abs=1e-6)
+    there = "st_transform(st_transform(st_pointz(12.5, 41.9, 120, 4979), 'EPSG:4978'), 'EPSG:4979')"
+    assert (one(f"st_x({there})"), one(f"st_y({there})"), one(f"st_z({there})")) == pytest.approx((12.5, 41.9, 120), abs=1e-6)
+
+
 def test_aggregates_skip_nulls_and_keep_none(spark):
     st.register(spark)
     df = spark.sql("SELECT * FROM VALUES (1, 'POINT(0 0)'), (1, NULL), (1, 'POINT(2 3)'), (2, NULL) AS t(k, w)").selectExpr("k", "st_geomfromtext(w) AS g")
