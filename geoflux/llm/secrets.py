@@ -106,6 +106,16 @@ def cuts(p_values: DataFrame, rate: float) -> DataFrame:
     return group.select("encoding", "band", (F.array_min(good) / BINS).alias("cut")).where("cut is not null")
 
 
+def _parts(runs: DataFrame) -> DataFrame:
+    """The runs that one encoding can hold, and of those that mix the signs of several their parts of letters and digits."""
+    mixed = F.col("s").rlike("[+/]") & F.col("s").rlike("[_-]")
+    parts = runs.where(mixed).withColumn("m", F.filter(F.arrays_zip(F.transform(F.split("s", "[A-Za-z0-9]{20,}", -1), F.char_length).alias("gap"), F.regexp_extract_all("s", F.lit("[A-Za-z0-9]{20,}"), F.lit(0)).alias("t")), lambda x: x["t"].isNotNull()))
+    # Where a part begins: all gaps up to it and all parts before it.
+    at = F.expr("transform(m, (x, i) -> named_struct('from', start + aggregate(slice(m, 1, i + 1), 0, (n, y) -> n + y.gap) + aggregate(slice(m, 1, i), 0, (n, y) -> n + length(y.t)), 't', x.t))")
+    parts = parts.select("row", "kind_no", F.explode(at).alias("p")).select("row", "kind_no", F.col("p.from").cast("int").alias("start"), (F.col("p.from") + F.length("p.t")).cast("int").alias("end"), F.col("p.t").alias("s"))
+    return runs.where(~mixed).unionByName(parts)
+
+
 def secret_scan(docs: DataFrame, false_rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: (id, spans array<struct<start, kind_no, end>>), by start and then kind.
 
@@ -129,7 +139,7 @@ def secret_scan(docs: DataFrame, false_rate: float = 0.1, id_col: str = "doc_id"
     spans = scratch.save(spans.select("row", "kind_no", "start", "end", "s"))
     base = spans.where("kind_no < 3").where((F.col("kind_no") > 0) | (F.length(F.regexp_extract("s", ASSIGN, 2)) >= 6)).select("row", "kind_no", "start", "end")
     band = F.expr(f"element_at(filter(array({', '.join(map(str, BANDS))}), b -> b <= n), -1)")
-    tested = scratch.save(battery(spans.where("kind_no = 3")).select("row", "kind_no", "start", "end", "encoding", band.alias("band"), "p"))
+    tested = scratch.save(battery(_parts(spans.where("kind_no = 3"))).select("row", "kind_no", "start", "end", "encoding", band.alias("band"), "p"))
     # At most one row for each encoding and band.
     added = tested.join(F.broadcast(cuts(tested, false_rate)), ["encoding", "band"]).where("p >= cut").select("row", "kind_no", "start", "end")
     per_row = base.union(added).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "end"))).alias("spans"))
