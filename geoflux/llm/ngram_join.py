@@ -243,22 +243,9 @@ def _large(sigs: DataFrame, scratch: Scratch) -> DataFrame | None:
     return bins if bins.limit(1).count() else None
 
 
-def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: (id, n_shingles long, class_id, component_id).
-
-    Two texts link when 100 * intersection >= percent * union of their sets of
-    shingles of ``words`` words. A text of fewer words is one shingle; a text
-    without words, or null, is empty and links with nothing. ``class_id`` is
-    the smallest id with an equal set, ``component_id`` the smallest id that
-    links reach, the own id included. Ids are integers; repeated rows stay and
-    agree; rows with a null id get the ids of their class, if any. Other
-    columns are not read. An empty table gives an empty table.
-
-    Sets are named by 128 bits and shingles by 64; elements are compared by
-    hash. Buckets and counts have no caps.
-    """
-    spark = ship(docs.sparkSession)
-    scratch = Scratch(spark)
+def _indexed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, scratch: Scratch):  # noqa: ANN202
+    """What both joins start from: digests of rows, classes of equal sets, members of shared signatures, their classes with
+    the smallest id and a weight, their sets, and whether there are large signatures."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     digest = scratch.save(_digests(rows, words, percent))
     classes = scratch.save(digest.where("n > 0").groupBy("cid", "chk").agg(F.min("id").alias("rep")))
@@ -276,27 +263,51 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     # The text that others were copied from shares most signatures with most texts; it makes the best centre.
     weight = members.groupBy("cid").agg(F.sum("size").alias("weight"))
     some = scratch.save(weight.join(classes, "cid").where("rep is not null").select("cid", F.col("rep").alias("node"), "weight"))
-    with bloom_joins(spark):
+    with bloom_joins(docs.sparkSession):
         wanted = rows.join(some.where("weight > 0"), F.col("id") == F.col("node")).select("cid", "text")
         sets = scratch.save(_sets(wanted, words))
+    return digest, classes, members, some, sets, bins is not None
+
+
+def _near(rows: DataFrame, sets: DataFrame, percent: int, also: str) -> DataFrame:
+    """Pairs (a, b) of rows (sig, probe, cid, large, ...) of a signature whose sizes and parities allow a link: these rule out
+    most of what is near the threshold but below it before a pair is made."""
+    told = rows.join(sets.select("cid", "n", "parity"), "cid")
+    # Of a large signature, part i of its rows meets part j in one task; small ones have one part.
+    salt, all_parts = F.when(F.col("large"), _salt()).otherwise(0), F.expr(f"if(large, sequence(0, {SALTS - 1}), array(0))")
+    x = told.withColumns({"i": salt, "j": F.explode(all_parts)}).alias("x")
+    y = told.withColumns({"j": salt, "i": F.explode(all_parts)}).alias("y")
+    apart_bits = " + ".join(f"bit_count(x.parity[{i}] ^ y.parity[{i}])" for i in range(16))
+    near = f"x.sig = y.sig and x.i = y.i and x.j = y.j and {also} and x.probe + y.probe > 0 and {apart_bits} <= (x.n + y.n) * {100 - percent} / {100 + percent}"
+    return x.join(y, F.expr(near)).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+
+
+def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: (id, n_shingles long, class_id, component_id).
+
+    Two texts link when 100 * intersection >= percent * union of their sets of
+    shingles of ``words`` words. A text of fewer words is one shingle; a text
+    without words, or null, is empty and links with nothing. ``class_id`` is
+    the smallest id with an equal set, ``component_id`` the smallest id that
+    links reach, the own id included. Ids are integers; repeated rows stay and
+    agree; rows with a null id get the ids of their class, if any. Other
+    columns are not read. An empty table gives an empty table.
+
+    Sets are named by 128 bits and shingles by 64; elements are compared by
+    hash. Buckets and counts have no caps.
+    """
+    scratch = Scratch(ship(docs.sparkSession))
+    digest, classes, members, some, sets, split = _indexed(docs, words, percent, id_col, text_col, scratch)
     apart = scratch.save(members.join(some, "cid").select("sig", "probe", "cid", "weight", F.col("node").alias("comp"), (F.col("size") > LARGE).alias("large")))
     scratch.drop(members)
     ends = some.select(F.col("cid").alias("a"), F.col("node").alias("na")), some.select(F.col("cid").alias("b"), F.col("node").alias("nb"))
     tried = links = label = None
     for turn in range(STARS + 1):
         if turn < STARS:
-            centred = _told(apart, bins is not None, c=F.max(F.struct("weight", "cid", "comp")))
+            centred = _told(apart, split, c=F.max(F.struct("weight", "cid", "comp")))
             pairs = centred.where("comp <> c.comp").select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b"))
         else:
-            # Parities rule out most of what is near the threshold but below it before a pair is made.
-            told = apart.join(sets.select("cid", "n", "parity"), "cid")
-            # Of a large signature, part i of its rows meets part j in one task; small ones have one part.
-            salt, all_parts = F.when(F.col("large"), _salt()).otherwise(0), F.expr(f"if(large, sequence(0, {SALTS - 1}), array(0))")
-            x = told.withColumns({"i": salt, "j": F.explode(all_parts)}).alias("x")
-            y = told.withColumns({"j": salt, "i": F.explode(all_parts)}).alias("y")
-            apart_bits = " + ".join(f"bit_count(x.parity[{i}] ^ y.parity[{i}])" for i in range(16))
-            near = f"x.sig = y.sig and x.i = y.i and x.j = y.j and x.comp < y.comp and x.probe + y.probe > 0 and {apart_bits} <= (x.n + y.n) * {100 - percent} / {100 + percent}"
-            pairs = x.join(y, F.expr(near)).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+            pairs = _near(apart, sets, percent, "x.comp < y.comp")
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -310,7 +321,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         if turn < STARS:
             placed = apart.join(some.select("cid", "node"), "cid").join(label, "node", "left")
             placed = placed.select("sig", "probe", "cid", "weight", F.coalesce("component", "node").alias("comp"), "large")
-            placed = _told(placed, bins is not None, top=F.max(F.struct("weight", "cid")), low=F.min("comp"), high=F.max("comp")).where("low < high")
+            placed = _told(placed, split, top=F.max(F.struct("weight", "cid")), low=F.min("comp"), high=F.max("comp")).where("low < high")
             # A centre has met its bucket; it stands back, so that the next turn has another one.
             spent = F.when(F.col("cid") == F.col("top.cid"), -F.abs("weight")).otherwise(F.col("weight"))
             placed = placed.select("sig", "probe", "cid", spent.alias("weight"), "comp", "large")
@@ -324,6 +335,22 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     )
 
 
+def ngram_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The links themselves: (a, b), one row for each two classes of equal sets that link, named by their smallest ids, a < b.
+
+    ``ngram_join`` tells the class of each row, so copies are not expanded into
+    pairs. As many pairs are verified as share a signature: in a group of n
+    near copies that differ, n * (n - 1) / 2. Rows with null ids count only as
+    copies of others.
+    """
+    scratch = Scratch(ship(docs.sparkSession))
+    _, _, members, some, sets, _ = _indexed(docs, words, percent, id_col, text_col, scratch)
+    rows = members.join(some.select("cid"), "cid").select("sig", "probe", "cid", (F.col("size") > LARGE).alias("large"))
+    links = _verified(scratch.save(_near(rows, sets, percent, "x.cid < y.cid").distinct()), sets, percent)
+    first, second = some.select(F.col("cid").alias("a"), F.col("node").alias("x")), some.select(F.col("cid").alias("b"), F.col("node").alias("y"))
+    return links.join(first, "a").join(second, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but for those with a smaller id in their component.
 
