@@ -149,6 +149,20 @@ def test_ngram_join_of_signatures_that_very_many_sets_share(spark, monkeypatch):
         assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_join(rows, words, percent)
 
 
+def test_ngram_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 6)
+    r = random.Random(13)
+    text = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if r.random() > 0.02 else f"x{r.randrange(50)}" for w in text)) for i in range(60)] + [(100, rows_text := " ".join(text)), (101, rows_text), (102, None), (103, "other words of its own")]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").split()
+        sets.setdefault(frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)), i)
+    want = {tuple(sorted((sets[a], sets[b]))) for a, b in combinations([s for s in sets if s], 2) if 100 * len(a & b) >= 80 * len(a | b)}
+    got = [(x.a, x.b) for x in ngram_join.ngram_links(docs(spark, rows), 3, 80).collect()]
+    assert len(want) > 50 and len(got) == len(want) and set(got) == want
+
+
 def test_keep_one_of_repeated_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "x y"), (3, "x y"), (None, "x y z"), (None, "x y z"), (4, None), (4, None)]
     kept = ngram_join.keep_one(docs(spark, rows))
@@ -233,6 +247,22 @@ def test_secrets(spark):
     assert secrets.op4(docs(spark, EDGES)).count() == len(EDGES) and secrets.op4(docs(spark, []).limit(0)).count() == 0
 
 
+def test_secrets_inside_runs_of_several_encodings(spark):
+    r = random.Random(23)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows, want = [], {}
+    for i in range(80):
+        a, b = key(40), key(64)
+        rows.append((i, f"see /my-app/{a}/x_y+{b}-end or sk_live/thisisalongwordofletters-only/z"))
+        want[i] = {(rows[-1][1].index(x), rows[-1][1].index(x) + len(x)) for x in (a, b)}
+    found = wrong = 0
+    for x in secrets.op4(docs(spark, rows)).collect():
+        spans = {tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s.startswith("random")}
+        found += len(spans & want[x.doc_id])
+        wrong += len(spans - want[x.doc_id])
+    assert found >= 0.8 * 160 and wrong <= 0.1 * found
+
+
 def test_battery_against_numpy(spark):
     r = random.Random(21)
     texts = ["".join(r.choice(letters) for _ in range(n)) for _, letters, _ in secrets.ENCODINGS for n in (20, 33, 64, 200)]
@@ -441,6 +471,63 @@ def test_quality_edges(spark):
     assert quality.op8(docs(spark, []).limit(0), labels).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    """Counts, ratios, cut, weights and draw again by plain loops; only the noise of an id is taken from the operator."""
+    r = random.Random(31)
+    good, bad = "the quiet river runs through Green fields and on. to sea,".split(), "BUY now now now!! free $$$ click### WIN win".split()
+    texts = {i: " ".join(r.choice(good if r.random() < (0.9 if i % 2 else 0.2) else bad) for _ in range(r.randrange(1, 60))) for i in range(1, 90)} | {90: None, 91: "", 92: " \n", 93: "x", 94: "é ß"}
+    labels = {i: i % 2 for i in range(1, 40)}
+    ends = {c: k for k, c in enumerate(".,;:!?|#$%&*", 1)}
+
+    def shape(w):
+        case = 0 if not any(c.isalpha() for c in w) else 1 if w.islower() else 2 if w[0].isupper() and w[1:].islower() else 3 if len(w) > 1 and w.isupper() else 2 if w.isupper() else 4
+        return case, ends.get(w[-1], 0)
+
+    def grams(t):
+        b, w = (t or "").encode(), (t or "").split()
+        tri = [((b[i] * 0x9E3779B1 + b[i + 1] * 0x85EBCA77 + b[i + 2] * 0xC2B2AE3D) % 2**32) >> 16 for i in range(len(b) - 2)]
+        pairs = [shape(x)[0] | (shape(y)[0] << 4 | shape(y)[1]) << 3 | (x == y) << 10 for x, y in zip(w, w[1:], strict=False)]
+        return tri, pairs
+
+    ratios = []
+    for part, size in ((0, quality.TRIGRAMS), (1, quality.SHAPES)):
+        raw, target = [0] * size, [0] * size
+        for i, t in texts.items():
+            for g in grams(t)[part]:
+                raw[g] += 1
+                target[g] += labels.get(i) == 1
+        p, n = [(x + 0.5) / (sum(raw) + size / 2) for x in raw], 5 * size**0.5
+        ratios.append([math.log((t + n * q) / (sum(target) + n) / q) for t, q in zip(target, p, strict=True)])
+    mean, size = {}, {}
+    for i, t in texts.items():
+        if t and t.strip():
+            tri, pairs = grams(t)
+            size[i] = len(tri)
+            mean[i] = sum(ratios[0][g] for g in tri) / (len(tri) + quality.NEUTRAL) + sum(ratios[1][g] for g in pairs) / (len(pairs) + quality.NEUTRAL / 5)
+    known = sorted(mean[i] for i in labels if i in mean)
+    between = [(a + b) / 2 for a, b in zip(known, known[1:], strict=False)] + [known[0] - 0.5]
+    cost = lambda c: quality.LOSS * sum(mean[i] < c for i in labels if labels[i]) / sum(labels.values()) + sum(mean[i] >= c for i in labels if not labels[i]) / sum(1 - v for v in labels.values())
+    got = {x.doc_id: x for x in quality.op8(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    noise = {x.doc_id: x.g for x in spark.createDataFrame([(i,) for i in texts], "doc_id long").select("doc_id", quality.gumbel(F.col("doc_id")).alias("g")).collect()}
+    cuts = [mean[i] - got[i].log_weight / (size[i] + quality.NEUTRAL) for i in mean]
+    assert max(cuts) - min(cuts) < 1e-9 and abs(cost(cuts[0]) - min(map(cost, between))) < 1e-12
+    keys = {i: got[i].log_weight + noise[i] for i in mean}
+    drawn = sorted(keys, key=keys.get, reverse=True)[: sum(got[i].log_weight > 0 for i in mean)]
+    assert {i for i in got if got[i].kept} == set(drawn) and 20 < len(drawn) < 70
+    assert all(abs(got[i].key - keys[i]) < 1e-9 for i in mean) and got[90].log_weight == -1e9
+
+
+def test_quality_draws_as_many_as_asked(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    d = docs(spark, [(i, ("fine words here and there " if i % 2 else "junk!! junk!! $$$ ") * (1 + i % 5)) for i in range(40)] + [(100, None), (101, " ")])
+    for k in (0, 1, 7, 40, 60):
+        out = quality.classify(d, labels, k=k)
+        assert out.where("kept").count() == min(k, 40) and out.count() == 42
+    assert out.columns == ["doc_id", "text", "n_lines", "row", "id", "log_weight", "key", "kept"]
+    draws = [{x.doc_id for x in quality.classify(d, labels, k=10, cut=0.0, seed=s).where("kept").collect()} for s in range(3)]
+    assert len(set.union(*draws)) > 10  # noise decides among texts of like weights
+
+
 def test_kth_largest(spark):
     r = random.Random(8)
     v = [r.choice([r.gauss(0, 1), 0.5, r.gauss(50, 0.001)]) for _ in range(5000)]
@@ -588,7 +675,7 @@ def odd_corpus(spark, tmp_path):
     """A folder with tables whose rows are odd: nulls, empty, blank, long, repeated and clashing ones."""
     good = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
     line = "one line of more than forty characters that many documents hold"
-    rows = [(i, t, None, None, None) for i, t in EDGES] + [(500 + i, f"{line}\nown words of document {i} and some more", "en", "web", 3) for i in range(6)] + [(None, None, None, None, None)] * 2 + [(600, LONG, "en", "web", 0)]
+    rows = [(None if i is None else 9000 + i, t, None, None, None) for i, t in EDGES] + [(9500 + i, f"{line}\nown words of document {i} and some more", "en", "web", 3) for i in range(6)] + [(None, None, None, None, None)] * 2 + [(9600, LONG, "en", "web", 0)]
     good.unionByName(spark.createDataFrame(rows, good.schema)).withColumns({"key": F.lit("k"), "row": F.lit(1), "w": F.lit(2.0), "items": F.lit("i"), "n_lines": F.lit("n")}).write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
@@ -606,7 +693,7 @@ def test_pipeline_of_odd_rows(spark, odd_corpus):
         d = scratch.save(stage(spark, d, odd_corpus))
         assert name == "tokens" or d.columns == list(p.COLUMNS) == empty.columns
     ids = [r.doc_id for r in d.collect()]
-    assert ids and len(ids) == len(set(ids)) and not {1, 2, 3} & set(ids)
+    assert ids and len(ids) == len(set(ids)) and not {9001, 9002, 9003} & set(ids)
     assert sorted(map(str, p.run(spark, odd_corpus).collect())) == sorted(map(str, d.collect()))
 
 
