@@ -64,9 +64,10 @@ class Frame:
     def _value(self, v: Any) -> Column:
         return v if isinstance(v, Column) else self._col(v) if isinstance(v, str) else F.lit(v)
 
-    def mutate(self, **named: Any) -> Frame:
-        """All values see the input; known names are replaced in place, new ones follow."""
-        return self._new(self.df.withColumns({k: self._value(v) for k, v in named.items()}))
+    def mutate(self, *exprs: Column, **named: Any) -> Frame:
+        """All values see the input; known names are replaced in place, new ones follow. Positional ones are named by their alias."""
+        own = dict(zip(self.df.select(*exprs).columns, exprs, strict=True)) if exprs else {}
+        return self._new(self.df.withColumns(own | {k: self._value(v) for k, v in named.items()}))
 
     def rename(self, **new_from_old: str) -> Frame:
         return self._new(self.df.withColumnsRenamed({self._known(old): new for new, old in new_from_old.items()}))
@@ -197,6 +198,22 @@ class Frame:
     def to_arrow_table(self):
         return self.df.toArrow()
 
+    def to_arrow_reader(self):
+        """Record batches, a partition at a time: the driver never holds all rows."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        def packed(batches):
+            for batch in batches:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as w:
+                    w.write_batch(batch)
+                yield pa.RecordBatch.from_pydict({"b": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        schema = to_arrow_schema(self.df.schema)
+        rows = self.df.mapInArrow(packed, "b binary").toLocalIterator()
+        return pa.RecordBatchReader.from_batches(schema, (pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, schema, strict=True)], schema=schema) for r in rows for b in pa.ipc.open_stream(r.b)))
+
     def to_parquet(self, path: str, **options: Any) -> None:
         from .sources.geoparquet import write
 
@@ -218,6 +235,18 @@ class Frame:
         write(self.df, path, geometry)
 
 
+class Prepared:
+    """A query whose parameters are still to be given."""
+
+    def __init__(self, ctx: Context, query: str):
+        self.ctx, self.query = ctx, query
+
+    def with_params(self, *values: Any, **named: Any) -> Frame:
+        if values and named:
+            raise ValueError("parameters are given by position or by name")
+        return self.ctx.sql(self.query, named or list(values))
+
+
 class Grouped:
     def __init__(self, frame: Frame, keys: list[Column]):
         self.frame, self.keys = frame, keys

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import functions as st
 from . import jvm
-from .frame import Frame
+from .frame import Frame, Prepared
 from .ship import ship
 
 
@@ -25,18 +25,19 @@ class Context:
         self.read = Reader(self)
         self._udfs: dict[str, Any] = {}
 
-    def sql(self, query: str, params: list | dict | tuple | None = None) -> Frame:
+    def sql(self, query: str, params: list | dict | tuple | None = None) -> Frame | Prepared:
         """SQL with ``?`` / ``:name`` parameters; ``$1`` and ``$name`` are understood as well. What else stands beside ST_KNN holds of
-        the neighbours that it finds."""
-        if params:
-            import re
+        the neighbours that it finds. With parameters ``$1`` or ``$name`` but no values the result waits for ``with_params``."""
+        import re
 
+        found = re.compile(r"'(?:[^']|'')*'|\$(\w+)")  # not in string literals
+        if not params and any(m[1] for m in found.finditer(query)):
+            return Prepared(self, query)
+        if params:
             if isinstance(params, dict):
-                query = re.sub(r"\$([A-Za-z_]\w*)", r":\1", query)
-            else:
-                order = [int(m) for m in re.findall(r"\$(\d+)", query)]
-                if order:
-                    query, params = re.sub(r"\$\d+", "?", query), [params[i - 1] for i in order]
+                query = found.sub(lambda m: f":{m[1]}" if m[1] else m[0], query)
+            elif order := [int(m[1]) for m in found.finditer(query) if m[1]]:
+                query, params = found.sub(lambda m: "?" if m[1] else m[0], query), [params[i - 1] for i in order]
         df = self.spark.sql(query, args=params or None)
         if "st_knn" in query.lower():
             df = DataFrame(jvm.static(self.spark, "geoflux.Plan", "rewritten", [df._jdf]), self.spark)

@@ -117,3 +117,19 @@ def test_geoframe(ctx):
     assert g.sjoin(g).count() == 10
     assert g.set_geometry(g.geometry.set_crs(4326)).to_crs("EPSG:3857").select(F.expr("st_srid(geometry)").alias("s")).head(1).collect() == [(3857,)]
     assert g.mutate(d=g.geometry.distance(g.geometry.centroid)).agg(m=F.max("d")).collect() == [(0.0,)]
+
+
+def test_positional_mutate_params_and_reader(spark):
+    from pyspark.sql import functions as F
+
+    from geoflux.session import connect
+
+    ctx = connect(spark)
+    f = ctx.frame(spark.range(10).selectExpr("id", "id * 2 AS b"))
+    assert f.mutate((f.id + 1).alias("c"), (f.b * 2).alias("b"), d=F.lit(1)).columns == ["id", "b", "c", "d"]
+    assert [tuple(r) for r in f.mutate((f.b + 1).alias("b")).limit(1).df.collect()] == [(0, 1)]
+    assert ctx.sql("SELECT $1 + 1 AS v, '$2' AS t").with_params(4).df.head() == (5, "$2")
+    assert ctx.sql("SELECT st_x(st_point($x, 2)) AS v").with_params(x=7.0).df.head().v == 7.0
+    reader = f.to_arrow_reader()
+    assert reader.schema.names == ["id", "b"] and sorted(reader.read_all()["b"].to_pylist()) == list(range(0, 20, 2))
+    assert ctx.frame(spark.range(0)).to_arrow_reader().read_all().num_rows == 0
