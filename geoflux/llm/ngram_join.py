@@ -234,6 +234,11 @@ def _told(rows: DataFrame, some_large: bool, **of_sig: Column) -> DataFrame:
     return small.unionByName(big.join(known, ["sig", "salt"]).drop("salt"))
 
 
+def _parts(size: Column) -> Column:
+    """As many parts as a signature of so many rows needs: few, so that rows are not copied much."""
+    return F.least(F.lit(SALTS), F.ceil(size / LARGE)).cast("int")
+
+
 def _large(sigs: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(bin) of the bins that may hold a large signature, BINS rows at most; none if there is none."""
     counts = scratch.save(sigs.groupBy(F.pmod("sig", F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n")))
@@ -270,13 +275,12 @@ def _indexed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
 
 
 def _near(rows: DataFrame, sets: DataFrame, percent: int, also: str) -> DataFrame:
-    """Pairs (a, b) of rows (sig, probe, cid, large, ...) of a signature whose sizes and parities allow a link: these rule out
-    most of what is near the threshold but below it before a pair is made."""
+    """Pairs (a, b) of rows (sig, probe, cid, parts, ...) of a signature whose sizes and parities allow a link: these rule out
+    most of what is near the threshold but below it before a pair is made. Each of the parts of a signature meets each other in a task."""
     told = rows.join(sets.select("cid", "n", "parity"), "cid")
-    # Of a large signature, part i of its rows meets part j in one task; small ones have one part.
-    salt, all_parts = F.when(F.col("large"), _salt()).otherwise(0), F.expr(f"if(large, sequence(0, {SALTS - 1}), array(0))")
-    x = told.withColumns({"i": salt, "j": F.explode(all_parts)}).alias("x")
-    y = told.withColumns({"j": salt, "i": F.explode(all_parts)}).alias("y")
+    own, each = F.expr("cast(pmod(xxhash64(cid), parts) as int)"), F.explode(F.expr("sequence(0, parts - 1)"))
+    x = told.withColumns({"i": own, "j": each}).alias("x")
+    y = told.withColumns({"j": own, "i": each}).alias("y")
     apart_bits = " + ".join(f"bit_count(x.parity[{i}] ^ y.parity[{i}])" for i in range(16))
     near = f"x.sig = y.sig and x.i = y.i and x.j = y.j and {also} and x.probe + y.probe > 0 and {apart_bits} <= (x.n + y.n) * {100 - percent} / {100 + percent}"
     return x.join(y, F.expr(near)).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
@@ -321,10 +325,10 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         if turn < STARS:
             placed = apart.join(some.select("cid", "node"), "cid").join(label, "node", "left")
             placed = placed.select("sig", "probe", "cid", "weight", F.coalesce("component", "node").alias("comp"), "large")
-            placed = _told(placed, split, top=F.max(F.struct("weight", "cid")), low=F.min("comp"), high=F.max("comp")).where("low < high")
+            placed = _told(placed, split, top=F.max(F.struct("weight", "cid")), low=F.min("comp"), high=F.max("comp"), left=F.count("*")).where("low < high")
             # A centre has met its bucket; it stands back, so that the next turn has another one.
             spent = F.when(F.col("cid") == F.col("top.cid"), -F.abs("weight")).otherwise(F.col("weight"))
-            placed = placed.select("sig", "probe", "cid", spent.alias("weight"), "comp", "large")
+            placed = placed.select("sig", "probe", "cid", spent.alias("weight"), "comp", "large", _parts(F.col("left")).alias("parts"))
             apart = scratch.save(placed)
             if not apart.limit(1).count():
                 break
@@ -345,7 +349,7 @@ def ngram_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     """
     scratch = Scratch(ship(docs.sparkSession))
     _, _, members, some, sets, _ = _indexed(docs, words, percent, id_col, text_col, scratch)
-    rows = members.join(some.select("cid"), "cid").select("sig", "probe", "cid", (F.col("size") > LARGE).alias("large"))
+    rows = members.join(some.select("cid"), "cid").select("sig", "probe", "cid", _parts(F.col("size")).alias("parts"))
     links = _verified(scratch.save(_near(rows, sets, percent, "x.cid < y.cid").distinct()), sets, percent)
     first, second = some.select(F.col("cid").alias("a"), F.col("node").alias("x")), some.select(F.col("cid").alias("b"), F.col("node").alias("y"))
     return links.join(first, "a").join(second, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
