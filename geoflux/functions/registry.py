@@ -43,8 +43,8 @@ G st_tessellategeog 2 2, st_tessellategeom 2 2, st_togeography 1 1, st_togeometr
 L s2_cellidfrompoint 1 1, sd_order 1 1
 S sd_format 1 2
 G sd_simplifystorage 1 1, geoflux_fromgeojson 1 1, geoflux_covered 5 5
-cells s2_coveringcellids 1 4, geoflux_cells 2 3, geoflux_keys 4 4
-L geoflux_anchor 3 3
+cells s2_coveringcellids 1 4, geoflux_cells 2 3, geoflux_keys 5 5
+L geoflux_anchor 4 4
 I geoflux_level 2 2, geoflux_floor 1 1
 D geoflux_radius 3 3
 bounds geoflux_bounds 1 1

@@ -197,3 +197,31 @@ def test_sql_knn_join(spark, sides):
         else:
             assert set(got) <= set(want) and {(x.a, x.b) for x in df.collect()} <= {(x.a, x.b) for x in near if x.r <= k and x.b % 2 == 0 and x.a < 100}
     assert ctx.sql("SELECT a, b FROM a, b WHERE ST_KNN(ga, gb, 0)").df.count() == 0
+
+
+def test_sql_join_of_sides_that_change_between_looks(spark):
+    st.register(spark)
+    a = spark.range(4000).selectExpr("id AS a", "st_buffer(st_point(id % 63, id % 61), pow(2, id % 14) / 200, 'quad_segs=1') AS ga")
+    b = spark.range(200).selectExpr("id AS b", "st_point(id % 59, id % 53) AS gb")
+    for left in (a.orderBy("a").limit(3000), a.where("rand(3) < 2"), a.sample(1.0, seed=5), a.dropDuplicates(["a"])):
+        left.createOrReplaceTempView("a")
+        b.createOrReplaceTempView("b")
+        df = spark.sql("SELECT a, b FROM a LEFT JOIN b ON st_intersects(ga, gb)")
+        assert keyed(df)
+        got = sorted((r.a, -1 if r.b is None else r.b) for r in df.collect())
+        spark.conf.set("geoflux.join.keys", "false")
+        try:
+            want = sorted((r.a, -1 if r.b is None else r.b) for r in spark.sql("SELECT a, b FROM a LEFT JOIN b ON st_intersects(ga, gb)").collect())
+        finally:
+            spark.conf.unset("geoflux.join.keys")
+        assert got == want and len(got) > 4000
+
+
+def test_sql_join_of_a_stream(spark, tmp_path):
+    st.register(spark)
+    spark.range(50).selectExpr("id").write.parquet(str(tmp_path / "in"))
+    spark.range(10).selectExpr("id AS b", "st_buffer(st_point(id * 5, 0), 1.5) AS gb").createOrReplaceTempView("b")
+    spark.readStream.schema("id long").parquet(str(tmp_path / "in")).selectExpr("id AS a", "st_point(id, 0) AS ga").createOrReplaceTempView("s")
+    q = spark.sql("SELECT a, b FROM s JOIN b ON st_intersects(ga, gb)").writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("hits").collect()) == sorted((a, b) for a in range(50) for b in range(10) if abs(a - 5 * b) <= 1)
