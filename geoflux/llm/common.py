@@ -19,24 +19,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A written table survives the loss of any executor, unlike a local
     checkpoint. ``drop`` deletes a table that no later step reads; the rest, which
-    the lazy result may read, goes when the application ends.
+    the lazy result may read, goes when the application ends. If ``tidy``, the
+    shuffle files of a table go as soon as it is written, not when the driver
+    happens to collect its garbage.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
         delete_at_exit(spark, self.root)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, *more: DataFrame) -> DataFrame:
+        """The frame, and more of its schema, written one after the other into one table."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with setting(self.spark, CLEANUP, "true") if self.tidy else contextlib.nullcontext():
+            for part in (df, *more):
+                part.write.mode("append").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -46,17 +65,10 @@ class Scratch:
             delete(self.spark, t._scratch_path)
 
 
-@contextlib.contextmanager
-def bloom_joins(spark: SparkSession):
+def bloom_joins(spark: SparkSession):  # noqa: ANN201
     """Lets the optimizer put a Bloom filter of a join's selective side (of the size that Spark bounds) before the
     exchange of the other, whatever the size of the table: few texts are then shuffled to find few among them."""
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "0")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+    return setting(spark, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
 
 
 _held: dict[str, Callable[[], None]] = {}

@@ -20,10 +20,14 @@ Signatures that very many sets share are found by counts in a fixed number of
 bins. Their rows are cut into parts by the hash of the set: what holds for a
 signature is aggregated before the exchange and goes to its parts, and pairs
 are made part by part, so no task has all rows of a signature.
+
+Signatures meet in ``PASSES`` turns, each with those of one range, so that the
+disk holds one range in shuffle files at a time; their table goes after that.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -42,6 +46,8 @@ SLACK = 1.25
 STARS = 2
 #: Bins in which rows of signatures are counted, rows of a signature that one task may hold, and parts of a larger one.
 BINS, LARGE, SALTS = 65_536, 1_000, 32
+#: Ranges of signatures that are exchanged one after the other, a power of two.
+PASSES = 4
 #: Distinct words whose hashes a worker holds.
 WORD_CACHE = 200_000
 LARGEST = 2**40
@@ -139,7 +145,8 @@ def _name(s: np.ndarray) -> bytes:
 
 
 def _digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, n, cid, chk, sigs): 128 bits that name the set; signatures once for each set in a task."""
+    """(id, n, cid, chk, sigs0, ...): 128 bits that name the set; signatures once for each set in a task, a column for each pass."""
+    columns, shift = [f"sigs{k}" for k in range(PASSES)], np.uint64(65 - PASSES.bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using("ngram_join", _words.clear)
@@ -155,15 +162,18 @@ def _digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     sigs.append(np.empty(0, np.int64) if name in seen else bands.signatures(s))
                     seen.add(name)
                 two = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
+                every, row = np.concatenate(sigs), np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
+                turn, lists = every.view(np.uint64) >> shift, []
+                for k in range(PASSES):
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(row[turn == k], minlength=len(sigs)))]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(every[turn == k])))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))],
-                    names=["id", "n", "cid", "chk", "sigs"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), *lists], names=["id", "n", "cid", "chk", *columns]
                 )
         _words.clear()
         release()
 
-    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, cid long, chk long, sigs array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, cid long, chk long, " + ", ".join(f"{c} array<long>" for c in columns))
 
 
 def _parity(s: np.ndarray) -> list[int]:
@@ -239,32 +249,36 @@ def _parts(size: Column) -> Column:
     return F.least(F.lit(SALTS), F.ceil(size / LARGE)).cast("int")
 
 
-def _large(sigs: DataFrame, scratch: Scratch) -> DataFrame | None:
+def _large(sigs: list[DataFrame], scratch: Scratch) -> DataFrame | None:
     """(bin) of the bins that may hold a large signature, BINS rows at most; none if there is none."""
-    counts = scratch.save(sigs.groupBy(F.pmod("sig", F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n")))
+    rows = functools.reduce(DataFrame.unionAll, sigs)
+    counts = scratch.save(rows.groupBy(F.pmod("sig", F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n")))
     mean = (counts.agg(F.sum("n")).head()[0] or 0) / BINS
     bins = scratch.save(counts.where(F.col("n") > LARGE + 4 * mean).select("bin"))
     scratch.drop(counts)
     return bins if bins.limit(1).count() else None
 
 
+def _shared(sigs: DataFrame, bins: DataFrame | None) -> DataFrame:
+    """(sig, probe, cid, size) of the signatures that several sets have and one of them probes."""
+    if bins is not None:
+        marked = F.broadcast(bins.withColumn("large", F.lit(True)))  # BINS rows at most
+        sigs = sigs.withColumn("bin", F.pmod("sig", F.lit(BINS)).cast("int")).join(marked, "bin", "left").drop("bin").withColumn("large", F.coalesce("large", F.lit(False)))
+    told = _told(sigs, bins is not None, low=F.min("cid"), high=F.max("cid"), probed=F.max("probe"), size=F.count("*"))
+    return told.where("low < high and probed = 1").select("sig", "probe", "cid", "size")
+
+
 def _indexed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, scratch: Scratch):  # noqa: ANN202
     """What both joins start from: digests of rows, classes of equal sets, members of shared signatures, their classes with
     the smallest id and a weight, their sets, and whether there are large signatures."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    digest = scratch.save(_digests(rows, words, percent))
+    signed = scratch.save(_digests(rows, words, percent))
+    digest = scratch.save(signed.select("id", "n", "cid", "chk"))
     classes = scratch.save(digest.where("n > 0").groupBy("cid", "chk").agg(F.min("id").alias("rep")))
-    sigs = digest.where("size(sigs) > 0").select("cid", F.explode("sigs").alias("x")).select(F.shiftrightunsigned("x", 1).alias("sig"), F.col("x").bitwiseAND(1).alias("probe"), "cid")
+    sigs = [signed.select("cid", F.explode(f"sigs{k}").alias("x")).select(F.shiftrightunsigned("x", 1).alias("sig"), F.col("x").bitwiseAND(1).alias("probe"), "cid") for k in range(PASSES)]
     bins = _large(sigs, scratch)
-    if bins is not None:
-        marked = F.broadcast(bins.withColumn("large", F.lit(True)))  # BINS rows at most
-        sigs = sigs.withColumn("bin", F.pmod("sig", F.lit(BINS)).cast("int")).join(marked, "bin", "left").drop("bin").withColumn("large", F.coalesce("large", F.lit(False)))
-    members = (
-        _told(sigs, bins is not None, low=F.min("cid"), high=F.max("cid"), probed=F.max("probe"), size=F.count("*"))
-        .where("low < high and probed = 1")
-        .select("sig", "probe", "cid", "size")
-    )
-    members = scratch.save(members)
+    members = scratch.save(*[_shared(s, bins) for s in sigs])
+    scratch.drop(signed)
     # The text that others were copied from shares most signatures with most texts; it makes the best centre.
     weight = members.groupBy("cid").agg(F.sum("size").alias("weight"))
     some = scratch.save(weight.join(classes, "cid").where("rep is not null").select("cid", F.col("rep").alias("node"), "weight"))
@@ -300,7 +314,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     Sets are named by 128 bits and shingles by 64; elements are compared by
     hash. Buckets and counts have no caps.
     """
-    scratch = Scratch(ship(docs.sparkSession))
+    scratch = Scratch(ship(docs.sparkSession), tidy=True)
     digest, classes, members, some, sets, split = _indexed(docs, words, percent, id_col, text_col, scratch)
     apart = scratch.save(members.join(some, "cid").select("sig", "probe", "cid", "weight", F.col("node").alias("comp"), (F.col("size") > LARGE).alias("large")))
     scratch.drop(members)
@@ -347,7 +361,7 @@ def ngram_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     near copies that differ, n * (n - 1) / 2. Rows with null ids count only as
     copies of others.
     """
-    scratch = Scratch(ship(docs.sparkSession))
+    scratch = Scratch(ship(docs.sparkSession), tidy=True)
     _, _, members, some, sets, _ = _indexed(docs, words, percent, id_col, text_col, scratch)
     rows = members.join(some.select("cid"), "cid").select("sig", "probe", "cid", _parts(F.col("size")).alias("parts"))
     links = _verified(scratch.save(_near(rows, sets, percent, "x.cid < y.cid").distinct()), sets, percent)

@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -163,6 +165,33 @@ def test_ngram_links(spark, monkeypatch):
     assert len(want) > 50 and len(got) == len(want) and set(got) == want
 
 
+def test_ngram_join_leaves_neither_signatures_nor_their_shuffle_files(spark, monkeypatch):
+    made, r = [], random.Random(5)
+
+    class Watched(Scratch):
+        def __init__(self, *args, **named):
+            super().__init__(*args, **named)
+            made.append(self)
+
+    def shuffled():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f: f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    monkeypatch.setattr(ngram_join, "Scratch", Watched)
+    texts = [" ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=300)) for _ in range(150)]
+    d = docs(spark, list(enumerate(texts + [t + " z" for t in texts])))
+    before = shuffled()
+    out = ngram_join.ngram_join(d)
+    for _ in range(50):  # executors delete in the background
+        if (left := sum(n for f, n in shuffled().items() if f not in before)) < 100_000:
+            break
+        time.sleep(0.2)
+    assert left < 100_000
+    tables = [p for p in Path(made[0].root.removeprefix("file://")).iterdir()]
+    assert tables and not any(c.startswith("sigs") for p in tables for c in spark.read.parquet(str(p)).columns)
+    assert {(x.doc_id, x.component_id) for x in out.collect()} == {(i, i % 150) for i in range(300)}
+
+
 def test_keep_one_of_repeated_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "x y"), (3, "x y"), (None, "x y z"), (None, "x y z"), (4, None), (4, None)]
     kept = ngram_join.keep_one(docs(spark, rows))
