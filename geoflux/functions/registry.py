@@ -15,7 +15,7 @@ STATS_TYPE = "struct<count:bigint,sum:double,mean:double,median:double,mode:doub
 TYPES = {
     "G": "binary", "D": "double", "I": "int", "L": "bigint", "B": "boolean", "S": "string", "R": RASTER_TYPE,
     "dump": "array<struct<path:array<int>,geom:binary>>", "cells": "array<bigint>", "bounds": "struct<xmin:double,ymin:double,xmax:double,ymax:double>",
-    "doubles": "array<double>", "stats": STATS_TYPE, "tiles": f"array<struct<x:int,y:int,tile:{RASTER_TYPE}>>", "polygons": "array<struct<geom:binary,value:double>>",
+    "doubles": "array<double>", "places": "array<struct<i:int,d:double>>", "stats": STATS_TYPE, "tiles": f"array<struct<x:int,y:int,tile:{RASTER_TYPE}>>", "polygons": "array<struct<geom:binary,value:double>>",
 }
 
 # Fixed names of the functions: type of the result, then names with the least and greatest number of arguments.
@@ -42,11 +42,12 @@ G st_scale 3 4, st_segmentize 2 2, st_setcrs 2 2, st_setsrid 2 2, st_simplify 2
 G st_tessellategeog 2 2, st_tessellategeom 2 2, st_togeography 1 1, st_togeometry 1 1, st_transform 2 3, st_translate 3 4, st_unaryunion 1 1, st_union 2 2
 L s2_cellidfrompoint 1 1, sd_order 1 1
 S sd_format 1 2
-G sd_simplifystorage 1 1, geoflux_fromgeojson 1 1, geoflux_covered 5 5
+G sd_simplifystorage 1 1, geoflux_fromgeojson 1 1, geoflux_covered 5 5, geoflux_pack 1 1
 cells s2_coveringcellids 1 4, geoflux_cells 2 3, geoflux_keys 5 5
 L geoflux_anchor 4 4
 I geoflux_level 2 2, geoflux_floor 1 1
 D geoflux_radius 3 3
+places geoflux_nearest 5 5
 bounds geoflux_bounds 1 1
 R rs_example 0 0, rs_make 9 10, rs_setbandnodatavalue 2 3, rs_setcrs 2 2, rs_setsrid 2 2, rs_setgeoreference 2 3, rs_asraster 3 7, rs_clip 3 7, rs_resample 4 7
 R rs_reprojectmatch 2 3, rs_slice 3 3, rs_slicerange 4 4, rs_bandtodim 2 2, rs_dimtoband 2 2, rs_fromgdalraster 1 1, rs_frompath 1 1, rs_ensureloaded 1 1

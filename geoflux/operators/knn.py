@@ -1,18 +1,19 @@
 """k nearest neighbours of each query row, exactly, without comparing all with all.
 
 A bounded sample of the objects gives each query a radius within which k
-objects lie for certain: the distance of the k-th nearest of the sample. What
-lies within it is found by the distance join, whose condition the planner turns
-into an equi-join on cells, and ranked. All is one plan: nothing is looked at
-twice, so no ids have to be kept.
+objects lie for certain: the distance of the k-th nearest of the sample. The planner
+gives both sides keys of cells by which a query finds all that lies within it.
+The objects of a cell are packed into blocks of bounded size, and a query takes
+its k nearest of each block that it meets; these are ranked. So rows grow with
+the queries, not with the objects within their radius.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .. import jvm
 from ..functions import call, register
 
 #: Objects from which the radius is taken.
@@ -35,14 +36,10 @@ def knn_join(query: DataFrame, objects: DataFrame, k: int = 1, query_geom: str |
     """
     register(query.sparkSession)
     conv = (lambda c: call("st_togeography", c)) if use_spheroid else (lambda c: c)
-    taken = lambda g: F.col(g).isNotNull() & ~call("st_isempty", F.col(g))
-    q = query.select(F.struct(*[F.col(f"`{c}`") for c in query.columns]).alias("q_row"), conv(_column(query_geom)).alias("q_geom")).where(taken("q_geom"))
-    o = objects.select(F.struct(*[F.col(f"`{c}`") for c in objects.columns]).alias("o_row"), conv(_column(object_geom)).alias("o_geom")).where(taken("o_geom"))
-    some = o.select("o_geom").orderBy(F.xxhash64("o_geom")).limit(max(SAMPLE, 4 * k)).agg(call("st_collect_agg", F.col("o_geom")).alias("g")).scalar()
-    q = q.withColumns({"r": call("geoflux_radius", F.col("q_geom"), some, F.lit(k)), "q_id": F.monotonically_increasing_id()})
-    near = q.join(o, call("st_distance", F.col("q_geom"), F.col("o_geom")) <= F.col("r")).withColumn("d", call("st_distance", F.col("q_geom"), F.col("o_geom")))
-    order = Window.partitionBy("q_id").orderBy("d", *([f"o_row.`{tie_break}`"] if tie_break and not ties else []))
-    best = near.withColumn("rk", (F.rank() if ties else F.row_number()).over(order)).where(F.col("rk") <= k)
+    q = query.select(F.struct(*[F.col(f"`{c}`") for c in query.columns]).alias("q_row"), conv(_column(query_geom)).alias("q_geom"))
+    o = objects.select(F.struct(*[F.col(f"`{c}`") for c in objects.columns]).alias("o_row"), conv(_column(object_geom)).alias("o_geom"))
+    spark = query.sparkSession
+    best = DataFrame(jvm.static(spark, "geoflux.Plan", "neighbours", [spark._jsparkSession, q._jdf, o._jdf, k, ties, tie_break, max(SAMPLE, 4 * k)]), spark)
     names = {c.lower() for c in query.columns}
     return best.select(
         *[F.col(f"q_row.`{c}`").alias(c) for c in query.columns],

@@ -90,6 +90,59 @@ def test_knn_join_in_cells(spark, monkeypatch):
     assert pairs(knn_join(q, o, 4, "ga", "gb", tie_break="b")) == pairs(want)
 
 
+def rows_by_operator(df):
+    """The largest number of rows that a part of the executed plan gave."""
+    df.collect()
+
+    def most(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return most(p.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return most(p.plan())
+        m = p.metrics().get("numOutputRows")
+        children = [p.children().apply(i) for i in range(p.children().size())]
+        return max([m.get().value() if m.isDefined() else 0, *map(most, children)])
+
+    return most(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("way", ["frame", "sql"])
+def test_knn_gives_few_rows_where_many_objects_lie_in_reach(spark, monkeypatch, way):
+    from geoflux.operators import knn
+    from geoflux.session import connect
+
+    st.register(spark)
+    # Of a sample of few, the radius of a query holds most of the objects.
+    q = spark.range(400).selectExpr("id AS a", "st_point((id * 7919) % 100 / 100, (id * 104729) % 97 / 100) AS ga").cache()
+    o = spark.range(20000).selectExpr("id AS b", "st_point((id * 31) % 499 / 499, (id * id) % 991 / 991) AS gb").cache()
+    monkeypatch.setattr(knn, "SAMPLE", 4)
+    want = q.crossJoin(o).withColumn("d", st.st_distance("ga", "gb")).selectExpr("a", "b", "row_number() OVER (PARTITION BY a ORDER BY d, b) AS r").where("r <= 3")
+    if way == "frame":
+        df = knn_join(q, o, 3, "ga", "gb", tie_break="b").select("a", "b")
+        assert rows_by_operator(df) < 400_000
+    else:  # equally far objects go by their first column; the radius comes from 16,384 objects
+        q.createOrReplaceTempView("a")
+        o.createOrReplaceTempView("b")
+        df = connect(spark).sql("SELECT a, b FROM a JOIN b ON ST_KNN(ga, gb, 3)").df
+        assert pairs(spark.sql("SELECT a, b FROM a JOIN b ON ST_KNN(ga, gb, 3)")) == pairs(want)
+    assert pairs(df) == pairs(want)
+
+
+@pytest.mark.parametrize("k", [1, 7, 3000])
+def test_knn_of_equal_places(spark, k):
+    """Thousands of objects in one place fill several blocks; all of them tie."""
+    st.register(spark)
+    q = spark.range(12).selectExpr("id AS a", "st_point(id % 4, 0) AS ga")
+    o = spark.range(4000).selectExpr("id AS b", "st_point(if(id < 3500, 1, id % 50), 0) AS gb")
+    near = q.crossJoin(o).withColumn("d", st.st_distance("ga", "gb"))
+    assert pairs(knn_join(q, o, k, "ga", "gb", tie_break="b")) == pairs(near.selectExpr("a", "b", "row_number() OVER (PARTITION BY a ORDER BY d, b) AS r").where(f"r <= {k}"))
+    assert pairs(knn_join(q, o, k, "ga", "gb", ties=True)) == pairs(near.selectExpr("a", "b", "rank() OVER (PARTITION BY a ORDER BY d) AS r").where(f"r <= {k}"))
+    # The objects are the larger side here: they have one key, and the queries several.
+    few = q.where("a < 2")
+    assert pairs(knn_join(few, o, k, "ga", "gb", tie_break="b")) == pairs(near.where("a < 2").selectExpr("a", "b", "row_number() OVER (PARTITION BY a ORDER BY d, b) AS r").where(f"r <= {k}"))
+
+
 def test_knn_on_the_sphere(spark):
     st.register(spark)
     q = spark.range(60).selectExpr("id AS a", "st_point((id * 7919) % 360 - 180, (id * 104729) % 170 - 85) AS ga")
